@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from witloom.llm import html_extract, license_scan, qda, quality_rules, topk
 
@@ -134,14 +135,22 @@ def test_top_k(spark, monkeypatch, sizes):
         if i % 100 == 0:
             scores = sorted((-int(v @ w), j) for d, (j, w) in enumerate(good) if d != q)[:10]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
-    got = topk.top_k(frame, "pmod(vec_id, 100) = 0") if False else topk.top_k(frame, __import__("pyspark").sql.functions.expr("pmod(vec_id, 100) = 0"))
+    queries = F.expr("pmod(vec_id, 100) = 0")
+    got = topk.top_k(frame, queries)
     assert sorted(map(tuple, got.collect())) == sorted(want)
-    assert topk.top_k(frame.where("false"), __import__("pyspark").sql.functions.expr("pmod(vec_id, 100) = 0")).collect() == []
+    assert topk.top_k(frame.where("false"), queries).collect() == []
 
 
 def test_large_products_stay_exact():
-    q, d = np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 5.0]])
-    assert topk._products(q, d)[0, 0] == 2**80 + 15
+    q, d = np.array([[2.0**30, 3.0]]), np.array([[2.0**29, 5.0]])
+    assert topk._products(q, d)[0, 0] == 2**59 + 15
+    with pytest.raises(ValueError):
+        topk._products(q * 2.0**10, d)
+    rows = np.arange(40)
+    d = np.array([[2.0**29, float(i % 7)] for i in range(40)])
+    found, _ = topk.search_shard(np.array([0]), np.array([0]), q, rows, rows, d, 5, np.array([-np.inf]))
+    want = sorted(((-(2**59 + 3 * (i % 7)), i) for i in range(1, 40)))[:5]
+    assert sorted(zip(found[3].tolist(), found[2].tolist(), strict=True)) == sorted((-s, i) for s, i in want)
 
 
 # --- quality classifier ---

@@ -79,7 +79,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, blocks: int = BLOCK
     if keep and "text" in keep:
         raise ValueError("join the texts afterwards: they would pass through two shuffles here")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *(keep or []), key.alias("source_key"))
+    kept = [F.struct(*keep).alias("kept_")] if keep else []
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *kept, key.alias("source_key"))
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
     sized = stored(sized.withColumn("draw", mixed).withColumn("shard", F.pmod("draw", F.lit(shards)).cast("int")), "sizes")
     cells = stored(sized.groupBy("source_key", "source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
@@ -116,4 +117,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, blocks: int = BLOCK
 
     touched = F.when(F.col("cut").isNull(), F.array().cast("array<bigint>")).otherwise(F.filter(F.sequence(first_b, last_b), lambda b: lot(b, seed) <= F.col("cut")))
     more = F.when(F.col("size") > 0, F.aggregate(touched, F.lit(0).cast("long"), lambda a, b: a + overlap(b))).otherwise(F.lit(0))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + more).cast("long").alias("taken"), F.col("times").cast("int").alias("full_copies"), *(keep or []))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + more).cast("long").alias("taken"), F.col("times").cast("int").alias("full_copies"), *(["kept_.*"] if keep else []))

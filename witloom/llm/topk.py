@@ -9,7 +9,7 @@ Queries go out in blocks of bounded size; each meets each shard once, in a task
 bound. Queries first score a bounded set of shared vectors, whose k-th score is a floor that all shards start from
 (a floor only spares work). A shard returns at most k rows a query; a ranked window merges them.
 
-Defined results: vectors that are null, hold null or non-finite components take no part; vectors of other lengths are
+Defined results: vectors that are null, hold null or non-finite components take no part; scores beyond a long raise an error; vectors of other lengths are
 filled with zeros; a query with no candidate has no row; equal rows are different candidates, and only the
 query's own row is no candidate of it.
 """
@@ -51,11 +51,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _exact_type(q: np.ndarray, d: np.ndarray) -> type:
+    """Doubles hold whole-number products below 2**53, longs below 2**63."""
+    most = float(np.abs(q).sum(axis=1).max(initial=0)) * float(np.abs(d).max(initial=0))
+    if most >= 2**63:
+        raise ValueError("scores of these vectors do not fit a long")
+    return np.float64 if most < 2**53 else np.int64
+
+
 def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exact whole-number products: in doubles while they stay below 2**53, else in Python's integers."""
-    if np.abs(q).sum(axis=1).max(initial=0) * np.abs(d).max(initial=0) < 2**53:
-        return q @ d.T
-    return q.astype(object) @ d.astype(object).T
+    kind = _exact_type(q, d)
+    return q.astype(kind) @ d.astype(kind).T
 
 
 def search_shard(q_rows, q_ids, q, d_rows, d_ids, d, k: int, floor) -> tuple[list[np.ndarray], int]:
@@ -69,9 +75,14 @@ def search_shard(q_rows, q_ids, q, d_rows, d_ids, d, k: int, floor) -> tuple[lis
     d, d_ids, d_rows = d[order], d_ids[order], d_rows[order]
     blocks = [slice(s, min(s + BLOCK, len(d))) for s in range(0, len(d), BLOCK)]
     high, low = np.array([d[b].max(axis=0) for b in blocks]), np.array([d[b].min(axis=0) for b in blocks])
+    kind = _exact_type(q, d)
+    none = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    if kind is np.int64:  # doubles round these bounds
+        bounds += 1e-9 * np.abs(bounds)
     turns = np.argsort(-bounds, axis=1, kind="stable")
-    best_score = np.full((len(q), k), -np.inf, dtype=object if bounds.dtype == object else float)
+    q, d = q.astype(kind), d.astype(kind)
+    best_score = np.full((len(q), k), none, dtype=kind)
     best_at = np.full((len(q), k), -1, dtype=np.int64)
     kth = floor.astype(float).copy()
     scored = 0
@@ -84,16 +95,16 @@ def search_shard(q_rows, q_ids, q, d_rows, d_ids, d, k: int, floor) -> tuple[lis
             who = alive[turns[alive, turn] == b]
             scored += len(who)
             part = blocks[b]
-            s = _products(q[who], d[part])
             own = d_rows[part][None, :] == q_rows[who][:, None]
-            s = np.where(own, -np.inf, s)
+            s = np.where(own, none, q[who] @ d[part].T)
             all_s = np.concatenate([best_score[who], s], axis=1)
             all_at = np.concatenate([best_at[who], np.broadcast_to(np.arange(part.start, part.stop), s.shape)], axis=1)
             ids = np.where(all_at >= 0, d_ids[all_at], np.iinfo(np.int64).max)
-            pick = np.lexsort([ids, -all_s], axis=1)[:, :k]
+            pick = np.lexsort([-ids, all_s], axis=1)[:, : -k - 1 : -1]  # highest scores, then smallest ids
             best_score[who] = np.take_along_axis(all_s, pick, axis=1)
-            best_at[who] = np.where(np.isneginf(best_score[who].astype(float)), -1, np.take_along_axis(all_at, pick, axis=1))
-            kth[who] = np.maximum(kth[who], best_score[who][:, -1].astype(float))
+            best_at[who] = np.where(best_score[who] == none, -1, np.take_along_axis(all_at, pick, axis=1))
+            last = best_score[who][:, -1].astype(float)
+            kth[who] = np.maximum(kth[who], last if kind is np.float64 else last - 1e-9 * np.abs(last))
     at = best_at >= 0
     who = np.nonzero(at)[0]
     return [q_rows[who], q_ids[who], d_ids[best_at[at]], best_score[at].astype(np.int64)], scored
@@ -124,6 +135,7 @@ def top_k(vectors: DataFrame, queries_where, k: int = 10) -> DataFrame:
                     s = _products(q, np.pad(vecs, ((0, 0), (0, q.shape[1] - vecs.shape[1])))).astype(float)
                     s[part.column(0).to_numpy()[:, None] == rows[None, :]] = -np.inf
                     floor = np.partition(s, -k, axis=1)[:, -k]
+                    floor -= 1e-9 * np.abs(floor)  # doubles round the largest scores
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor, pa.float64())], [*part.schema.names, "floor"])
 
     asked = queries.mapInArrow(floors, "row long, vec_id long, v array<double>, floor double")
