@@ -114,13 +114,13 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     return f"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 win AS (SELECT rid, i, list_slice(words, i, i + {WINDOW - 1}) AS s FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rid, sum(least({WINDOW}, i - coalesce(p, i - {WINDOW}))) AS n FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM dup) GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-             CAST(len(list_filter(words, x -> x IN ({stop}))) AS BIGINT) AS n_stop, 1 AS one FROM w LEFT JOIN rep USING (rid)),
+             CAST(len(list_filter(words, lambda x: x IN ({stop}))) AS BIGINT) AS n_stop, 1 AS one FROM w LEFT JOIN rep USING (rid)),
 v AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, concat_ws(',', {failed}) AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND failed_rules = '') AS kept, failed_rules FROM v"""
