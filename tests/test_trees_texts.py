@@ -97,7 +97,7 @@ def test_normalising_keeps_the_spelling(spark):
 
 
 def test_renormalised_cells():
-    assert normalise.renormalise(["a", "r", "t", "th", "ī ", "'"]) == ["a", "r", "", "th", "ī", "a"]
+    assert normalise.renormalise(["a", "r", "t", "th", "ī ", "'"]) == ["a", "r", "th", "", "ī", "a"]  # the match's first cell keeps what fits there
     assert normalise.renormalise(["pārttho ", "gacchati"]) == ["pārthaḥ", "gacchati"]
     assert normalise.renormalise([]) == [] and normalise.renormalise(["", "||"]) == ["", ""]
     for cells in (["tac ", "ca"], ["o", " ka"], ["k", "", "ṣ", "a"]):
