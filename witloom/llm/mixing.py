@@ -5,8 +5,8 @@ of equal tokens. The targets are turned into whole numbers of blocks by highest
 first over the sources, then over the shards of each source. A shard that may take ``q`` of its ``b`` blocks takes
 every block ``q // b`` times and ``q % b`` of them, drawn by a seeded hash, once more.
 
-A source is split into hash shards, so one that holds most rows is no single task; per-document work runs inside a
-shard, per-source work on one row a source.
+A source is split into hash shards by its size, so one that holds most rows is no single task and a small one is not
+crumbled; per-document work runs inside a shard, per-source work on one row a source.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source, ordered last; equal rows are separate
 documents; an empty table gives no rows; other columns are ignored.
@@ -23,8 +23,10 @@ WEIGHTS = (5, 2, 1)
 #: Most times that a source, and so a document, is taken.
 REPEATS = 3
 #: Blocks into which the whole mix is cut: a source's words come within a few blocks of its target.
-BLOCKS = 200_000
-SHARDS = 32
+BLOCKS = 2_000_000
+#: Blocks that a shard holds at least, and shards that a source is split into at most.
+SHARD_BLOCKS = 64
+SHARDS = 1024
 SEED = 17
 
 
@@ -82,15 +84,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, blocks: int = BLOCK
     kept = [F.struct(*keep).alias("kept_")] if keep else []
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *kept, key.alias("source_key"))
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    sized = stored(sized.withColumn("draw", mixed).withColumn("shard", F.pmod("draw", F.lit(shards)).cast("int")), "sizes")
-    cells = stored(sized.groupBy("source_key", "source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
-    sources = stored(targets(cells.groupBy("source").agg(F.sum("shard_size").alias("source_size"))), "targets")
+    sized = stored(sized.withColumn("draw", mixed), "sizes")
+    sources = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     key_of = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    total = F.sum("source_size").over(Window.partitionBy())
-    block = F.greatest(F.floor(total / blocks), F.lit(1)).cast("long")
-    asked = sources.withColumn("source_key", key_of).withColumn("block", block).withColumn("all", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
+    everything = Window.partitionBy()
+    block = F.greatest(F.floor(F.sum("source_size").over(everything) / blocks), F.lit(1)).cast("long")
+    asked = sources.withColumn("source_key", key_of).withColumn("block", block).withColumn("all", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(everything) / F.col("block")).cast("long"))
+    split = F.least(F.greatest(F.floor(F.col("source_size") / (F.col("block") * SHARD_BLOCKS)), F.lit(1)), F.lit(shards))
+    asked = stored(asked.withColumn("n_shards", split.cast("long")), "asked")
+    sharded = sized.join(asked.select("source_key", "n_shards"), "source_key").withColumn("shard", F.pmod("draw", "n_shards").cast("int"))
+    cells = stored(sharded.groupBy("source_key", "shard").agg(F.sum("size").alias("shard_size")), "shards")
     per_source = sainte_lague(asked, "target", F.col("seats"), ["all"], ["source_key"]).select("source_key", "source_size", "target", "block", "quota")
-    parts = cells.select("source_key", "shard", "shard_size").join(F.broadcast(per_source), "source_key")
+    parts = cells.select("source_key", "shard", "shard_size").join(per_source, "source_key")
     # Quotas of a source's shards follow the shards' sizes.
     shares = sainte_lague(parts.withColumnRenamed("quota", "of_source"), "shard_size", F.col("of_source"), ["source_key"], ["shard"])
     # A last block that is not full is no block of its own: it goes with the one before it.
@@ -106,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, blocks: int = BLOCK
     drawn = drawn.withColumn("rank", F.row_number().over(ranked)).where("rank <= more").groupBy("source_key", "shard").agg(F.max("lot").alias("cut"))
     plan = shares.join(drawn, ["source_key", "shard"], "left").select("source_key", "shard", "source_size", "target", "block", "n_blocks", "times", "cut")
     place = Window.partitionBy("source_key", "shard").orderBy("draw", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("at", F.coalesce(F.sum("size").over(place), F.lit(0))).join(plan, ["source_key", "shard"])
+    placed = sharded.withColumn("at", F.coalesce(F.sum("size").over(place), F.lit(0))).join(plan, ["source_key", "shard"])
     last = F.col("n_blocks") - 1
     first_b, last_b = F.least(F.floor(F.col("at") / F.col("block")), last), F.least(F.floor((F.col("at") + F.col("size") - 1) / F.col("block")), last)
 
