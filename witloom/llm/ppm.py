@@ -103,11 +103,11 @@ def _count(order: int):
                 if not mine:
                     continue
                 grams[t].append(_tally(grams_of(mine, order)[0]))
-                if sum(len(x[0]) for x in grams[t]) > 3_000_000:
+                if sum(len(x[0]) for x in grams[t]) > 1_200_000:
                     grams[t] = [_counted([x[0] for x in grams[t]], [x[1] for x in grams[t]])]
                 for x in mine:
                     words[t].update(x.lower().split())
-            if sum(map(len, words)) > 400_000 or sum(len(x[0]) for k in grams for x in k) > 4_000_000:
+            if sum(map(len, words)) > 250_000 or sum(len(x[0]) for k in grams for x in k) > 1_500_000:
                 yield from rows(grams, *words)
         yield from rows(grams, *words)
 
