@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, crc_remainder, text_of
+from .common import crc_remainder, stored, text_of
 
 SYMBOLS = "#*$%&|<>{}[]^~=+\\_@"
 STATISTICS = ("log_chars", "word_length", "symbols", "digits", "capitals", "end_marks", "commas", "other_marks", "new_words", "line_repeats", "log_line", "letters")
@@ -114,15 +114,19 @@ def with_scores(frame: DataFrame, model: Model) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
-    """``x`` and ``label`` of the labelled documents that are not held out."""
+def labelled(stats: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
+    """``x`` and ``label`` of the labelled rows of ``stats`` (doc_id, x) that are not held out: no text is moved."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("id_"), F.col("quality").alias("label"))
     known = known.where(crc_remainder("id_", modulus) != held)
-    return statistics(docs.join(known, docs["doc_id"] == known["id_"]), "label")
+    return stats.join(known, F.col("doc_id") == F.col("id_")).select("label", "x")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
+    return labelled(statistics(docs, "doc_id"), labels, modulus, held)
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for each document."""
-    model = fit(training_rows(docs, labels, modulus, held))
-    scored = with_scores(statistics(docs, "doc_id"), model)
+    """doc_id, held_out, score, predicted: one row for each document. The statistics are worked out and written once."""
+    stats = stored(statistics(docs, "doc_id"), "statistics")
+    scored = with_scores(stats, fit(labelled(stats, labels, modulus, held)))
     return scored.select("doc_id", (crc_remainder("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
