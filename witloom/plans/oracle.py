@@ -50,6 +50,27 @@ NEEDS = {
     "numbered": ["marked"], "states": ["marked", "numbered"], "labels": ["numbered", "marked"], "long_states": ["states"], "islands": ["long_states"], "rows_": ["islands"], "work": ["cells"], "paths": ["up"],
 }
 
+# Fitch on the heap tree, level by level: sets_d and final_d hold the state sets of the nodes 2**d to 2**(d + 1) - 1.
+VIEWS["sets_4"] = """SELECT g.passage_id, g.n, CAST(i AS INTEGER) AS node, CASE WHEN c.reading IS NULL THEN CAST([] AS VARCHAR[]) ELSE [c.reading] END AS s
+        FROM (SELECT DISTINCT passage_id, n FROM cells) g CROSS JOIN range(16, 32) t(i) LEFT JOIN cells c ON c.passage_id = g.passage_id AND c.n = g.n AND c.wit_ord = i - 16"""
+NEEDS["sets_4"] = ["cells"]
+for _d in range(3, -1, -1):
+    VIEWS[f"sets_{_d}"] = f"""SELECT passage_id, n, parent AS node, CASE WHEN len(shared) > 0 THEN shared ELSE l || list_filter(r, lambda x: NOT list_contains(l, x)) END AS s
+        FROM (SELECT *, list_filter(l, lambda x: list_contains(r, x)) AS shared FROM (SELECT passage_id, n, node // 2 AS parent, arg_min(s, node) AS l, arg_max(s, node) AS r FROM sets_{_d + 1} GROUP BY 1, 2, 3))"""
+    NEEDS[f"sets_{_d}"] = [f"sets_{_d + 1}"]
+VIEWS["final_0"], NEEDS["final_0"] = "SELECT * FROM sets_0", ["sets_0"]
+for _d in range(1, 4):
+    VIEWS[f"final_{_d}"] = f"""SELECT passage_id, n, node, CASE WHEN len(own) = 1 OR len(shared) = 0 THEN own ELSE shared END AS s
+        FROM (SELECT *, list_filter(above, lambda x: list_contains(own, x)) AS shared FROM (SELECT c.passage_id, c.n, c.node, c.s AS own, p.s AS above FROM sets_{_d} c JOIN final_{_d - 1} p ON p.passage_id = c.passage_id AND p.n = c.n AND p.node = c.node // 2))"""
+    NEEDS[f"final_{_d}"] = [f"sets_{_d}", f"final_{_d - 1}"]
+for _v, _of in (("up_sets", "sets"), ("down_sets", "final")):
+    VIEWS[_v] = " UNION ALL ".join(f"SELECT passage_id, n, CAST(node AS VARCHAR) AS node_id, s FROM {_of}_{d}" for d in range(4))
+    NEEDS[_v] = [f"{_of}_{d}" for d in range(4)]
+LISTED = "CASE WHEN len(s) = 1 AND trim(s[1]) = '' THEN '_' WHEN len(s) = 1 THEN s[1] ELSE '{' || coalesce(list_aggregate(list_transform(s, lambda x: CASE WHEN trim(x) = '' THEN '_' ELSE x END), 'string_agg', ', '), '') || '}' END"
+SHOWN = f"CASE WHEN len(s) = 1 THEN trim(s[1]) ELSE {LISTED} END"
+SORTED = "coalesce(list_aggregate(list_sort(s), 'string_agg', '|'), '')"
+TREES = "(SELECT DISTINCT CAST(c_nationkey AS VARCHAR) || '-' || CAST(CAST(floor(c_custkey / 160) AS BIGINT) AS VARCHAR) AS tree_id FROM customer) t"
+
 
 def sql(body: str, *views: str) -> str:
     """``body`` below the views that it names."""
@@ -178,4 +199,21 @@ def oracle_sql() -> dict[str, str]:
     }
     # Scores that SQL can give: equal first words' lengths between two witnesses of a passage.
     out["center_witness"] = sql("""SELECT passage_id, arg_max(s, (total, -o)) AS center, max(total) AS total FROM (SELECT passage_id, s, o, sum(score) AS total FROM (SELECT a.passage_id, unnest([a.siglum, b.siglum]) AS s, unnest([a.wit_ord, b.wit_ord]) AS o, CAST(-abs(length(a.seq) - length(b.seq)) AS DOUBLE) AS score FROM seqs a JOIN seqs b ON a.passage_id = b.passage_id AND a.wit_ord < b.wit_ord) GROUP BY 1, 2, 3) GROUP BY 1""", "seqs")
+    for name, view in (("fitch_up", "up_sets"), ("fitch_down", "down_sets")):
+        out[name] = sql(f"SELECT passage_id, n, node_id, {SORTED} AS states FROM {view}", view)
+    out["format_states"] = sql(f"SELECT passage_id, n, node_id, {SHOWN} AS shown FROM up_sets", "up_sets")
+    out["reconstruct_all"] = sql(f"SELECT passage_id, n, node_id, {LISTED} AS reading FROM down_sets", "down_sets")
+    out["reconstruct_node"] = sql(f"""SELECT passage_id, 'ω2' AS siglum, wit_ord, n, CASE WHEN len(u) = 1 THEN u[1] ELSE {SHOWN} END AS reading, 'reconstructed' AS row_type
+        FROM (SELECT passage_id, n, s FROM down_sets WHERE node_id = '2') JOIN (SELECT passage_id, n, s AS u FROM up_sets WHERE node_id = '2') USING (passage_id, n)
+        JOIN (SELECT passage_id, max(wit_ord) + 1 AS wit_ord FROM cells GROUP BY 1) USING (passage_id)""", "up_sets", "down_sets", "cells")
+    out["export_pipeline"] = sql(""", g AS (SELECT passage_id, group_id, bool_and(insignificant) AS i, bool_and("binary") AS b FROM cols GROUP BY 1, 2),
+        m AS (SELECT passage_id, siglum, wit_ord, group_id, min(n) AS n, string_agg(coalesce(lemma, reading), '' ORDER BY n) AS reading FROM norm JOIN cols USING (passage_id, n) GROUP BY 1, 2, 3, 4),
+        k AS (SELECT passage_id, siglum, wit_ord, n, reading, b FROM m JOIN g USING (passage_id, group_id) WHERE NOT i),
+        f AS (SELECT passage_id, n, arg_min(reading, wit_ord) AS state FROM k WHERE b AND reading <> '' GROUP BY 1, 2)
+        SELECT passage_id, siglum, n, CASE WHEN reading = '' THEN '[]' WHEN state IS NOT NULL THEN '[' || state || ']' ELSE reading END AS reading FROM k LEFT JOIN f USING (passage_id, n)""", "norm", "cols")
+    out["subst_matrix"] = """WITH c AS (SELECT year(l_shipdate) AS y, lower(l_returnflag) AS a, lower(l_linestatus) AS b, count(*) AS score FROM lineitem GROUP BY 1, 2, 3),
+        r AS (SELECT y, a, max(score) FILTER (WHERE b = 'f') AS f, max(score) FILTER (WHERE b = 'o') AS o FROM c GROUP BY 1, 2)
+        SELECT CAST(y AS VARCHAR) AS path, a, 'f' AS b, CAST(coalesce(f, 0) AS DOUBLE) AS score FROM r UNION ALL SELECT CAST(y AS VARCHAR), a, 'o', CAST(coalesce(o, 0) AS DOUBLE) FROM r"""
+    out["tree_reroot"] = f"""SELECT tree_id, CASE WHEN i = 3 THEN 'fakeroot' ELSE CAST(i // 2 AS VARCHAR) END AS source, CAST(i AS VARCHAR) AS target, round(CAST(0.01 * ((i * 7) % 13) AS DOUBLE), 6) AS length FROM range(3, 32) r(i), {TREES}
+        UNION ALL SELECT tree_id, 'fakeroot', '2', CAST(0 AS DOUBLE) FROM {TREES}"""
     return out
