@@ -216,4 +216,6 @@ def oracle_sql() -> dict[str, str]:
         SELECT CAST(y AS VARCHAR) AS path, a, 'f' AS b, CAST(coalesce(f, 0) AS DOUBLE) AS score FROM r UNION ALL SELECT CAST(y AS VARCHAR), a, 'o', CAST(coalesce(o, 0) AS DOUBLE) FROM r"""
     out["tree_reroot"] = f"""SELECT tree_id, CASE WHEN i = 3 THEN 'fakeroot' ELSE CAST(i // 2 AS VARCHAR) END AS source, CAST(i AS VARCHAR) AS target, round(CAST(0.01 * ((i * 7) % 13) AS DOUBLE), 6) AS length FROM range(3, 32) r(i), {TREES}
         UNION ALL SELECT tree_id, 'fakeroot', '2', CAST(0 AS DOUBLE) FROM {TREES}"""
+    # In the file, a tree's edges stand behind its 31 nodes.
+    out["tree_read"] = f"SELECT tree_id, 'e' || CAST(i AS VARCHAR) AS edge_id, CAST(i + 29 AS INTEGER) AS edge_ord, CAST(i // 2 AS VARCHAR) AS source, CAST(i AS VARCHAR) AS target, CAST(0.01 AS DOUBLE) * ((i * 7) % 13) AS length FROM range(2, 32) r(i), {TREES}"
     return out
