@@ -19,6 +19,24 @@ def witness_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def witness_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight witnesses a passage, whole texts."""
+    number = F.col("doc_id") % 8
+    return table(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / 8).cast("long").alias("passage_id"), number.cast("int").alias("wit_ord"), F.concat(F.lit("W"), number.cast("string")).alias("siglum"), F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " ")).alias("seq")
+    )
+
+
+def witness_segments(spark: SparkSession, sf_dir: str, size: int = 120) -> DataFrame:
+    """Whole texts as consecutive segments of at most ``size`` characters, cut behind a space unless a word is longer.
+
+    The k-th segments of eight witnesses are the passage ``group.k``; a witness has no row in passages behind its end.
+    """
+    pieces = F.regexp_extract_all("seq", F.lit(f".{{1,{size - 1}}}(?: |$)|.{{1,{size}}}"), F.lit(0))
+    cut = witness_text(spark, sf_dir).select("passage_id", "wit_ord", "siglum", F.posexplode(F.when(F.length("seq") > 0, pieces).otherwise(F.array("seq"))).alias("k", "seq"))
+    return cut.select(F.concat_ws(".", "passage_id", "k").alias("passage_id"), "wit_ord", "siglum", "seq")
+
+
 def words_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, lower case, words of letters alone."""
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " ")).alias("seq"))

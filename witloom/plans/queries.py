@@ -143,12 +143,12 @@ def normalise_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalise_tokens(spark: SparkSession, d: str) -> DataFrame:
-    done = normalise.normalise_tokens(derived.witness_seq(spark, d))
+    done = normalise.normalise_tokens(derived.witness_text(spark, d))
     return done.select("passage_id", "siglum", F.size("toks").alias("tokens"), F.array_join(F.transform("toks", lambda t: t["norm"]), "").alias("norm"), F.array_join(F.transform("toks", lambda t: t["surface"]), "").alias("surface"))
 
 
 def renormalise_cells(spark: SparkSession, d: str) -> DataFrame:
-    words = derived.witness_seq(spark, d).select("passage_id", "siglum", "wit_ord", F.posexplode(translit.split_words(F.col("seq"))).alias("n", "reading"))
+    words = derived.witness_text(spark, d).select("passage_id", "siglum", "wit_ord", F.posexplode(translit.split_words(F.col("seq"))).alias("n", "reading"))
     return normalise.renormalise_cells(words)
 
 
@@ -220,7 +220,7 @@ def subst_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def glyph_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return derived.witness_seq(spark, d).select("passage_id", "siglum", "wit_ord", translit.split_glyphs(translit.iast_to_slp1(F.replace("seq", F.lit(" "), F.lit("")))).alias("toks"))
+    return derived.witness_segments(spark, d).select("passage_id", "siglum", "wit_ord", translit.split_glyphs(translit.iast_to_slp1(F.replace("seq", F.lit(" "), F.lit("")))).alias("toks"))
 
 
 def token_pair_score(spark: SparkSession, d: str) -> DataFrame:
