@@ -17,6 +17,8 @@ from witloom.llm import mixing, packing, qda, simhash, suffix_dedup
 from witloom.llm.common import WORD, stored, table
 from witloom.llm.queries import tokenizer_path
 
+#: A word with the white space before it.
+SPACED = r"[\x20\x09-\x0D]*" + WORD
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -42,16 +44,16 @@ def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole copies, and one cut to the words of a copy taken in part."""
+    """Documents as often as the mix takes them: whole copies; the one that fills a shard's quota is cut behind its last word."""
     at = F.xxhash64("text", "source", "lang")
-    taken = mixing.mix(docs.withColumn("at_", at), keep=["at_"])
+    taken = mixing.mix(docs.withColumn("at_", at), keep=["at_"], whole=True)
     same = Window.partitionBy("doc_id", "at_").orderBy("taken")
     taken = taken.withColumn("row_", F.row_number().over(same)).select(F.col("doc_id").alias("id_"), "at_", "row_", "size", "taken")
     rows = docs.withColumn("h_", at)
     rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("doc_id", "h_").orderBy("n_chars")))
     both = rows.join(stored(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h_") == F.col("at_")) & (F.col("n_") == F.col("row_")))
     whole, part = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"), F.pmod("taken", F.greatest(F.col("size"), F.lit(1))).cast("int")
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)), F.lit(1), part), "")
     copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(part > 0, F.array(words)).otherwise(F.array().cast("array<string>")))
     out = both.select("doc_id", F.explode(copies).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
