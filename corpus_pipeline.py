@@ -29,11 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id is the group's."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "kept_"), F.col("doc_id").eqNullSafe(F.col("kept_"))).select(*COLUMNS)
-    # Rows that repeat an id: the first of them in the order of their text's hash.
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang"))
+    """One row of each group of near copies: that of the least id, null ids last.
+
+    Rows are told apart by all their columns, so rows that share an id, or have none, but hold different texts all stay.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.lit(1), "doc_id", "text").alias("k_"), F.xxhash64(F.lit(2), "n_chars", "source", "lang", "text", "doc_id").alias("b_"))
+    kept = keyed.join(stored(simhash.representatives(keyed), "kept"), ["k_", "b_"])
+    # Equal rows share a key: one of them stays.
+    order = Window.partitionBy("k_", "b_").orderBy("doc_id")
     return kept.withColumn("row_", F.row_number().over(order)).where("row_ = 1").select(*COLUMNS)
 
 

@@ -231,3 +231,19 @@ def near_duplicates(docs: DataFrame, budget: int = 3, size: int = 3, seed: int =
     out = prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     drop(edges)
     return out
+
+
+def representatives(docs: DataFrame, budget: int = 3, size: int = 3, seed: int = 42, leaf: int = LEAF) -> DataFrame:
+    """k_, b_: the key of one row of each group of near copies among ``docs`` (doc_id, text, k_, b_: the row's key).
+
+    It is a row of the least doc_id, null being the largest. A group is told by its least fingerprint, so groups that share
+    ids, or have none, stay apart.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), "k_", "b_")
+    text = docs.select(row.alias("doc_id"), text_of().cast("binary").alias("text"))
+    prints = text.mapInArrow(_fingerprints(size, seed), "doc_id struct<none:boolean,doc_id:long,k_:long,b_:long>, fp long")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("row")), "distinct")
+    edges = stored(links(distinct.select("fp"), budget, leaf), "edges")
+    found = components(edges, distinct.select(F.col("fp").alias("node"), F.col("fp").alias("weight")))
+    groups = distinct.join(found, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("row").alias("row"))
+    return groups.select("row.k_", "row.b_")
