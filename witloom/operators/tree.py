@@ -38,17 +38,25 @@ def tree_reroot(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return old.unionByName(first.select("tree_id", F.lit("fakeroot").alias("node_id"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("is_root"))), new_edges
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(tree_id, ancestor, node, edges, length): every node with itself and all its ancestors, by doubling of paths."""
-    ends = edges.select("tree_id", F.col("source").alias("ancestor"), F.col("target").alias("node"), F.lit(1).alias("edges"), "length")
-    spark = edges.sparkSession
-    ends.createOrReplaceTempView("tree_steps_")
-    return spark.sql(f"""
-        WITH RECURSIVE up(tree_id, ancestor, node, edges, length) MAX RECURSION LEVEL {rounds} AS (
-          SELECT tree_id, node, node, 0, CAST(0 AS DOUBLE) FROM (SELECT tree_id, node FROM tree_steps_ UNION SELECT tree_id, ancestor FROM tree_steps_)
-          UNION ALL
-          SELECT s.tree_id, s.ancestor, u.node, u.edges + 1, CAST(u.length + s.length AS DOUBLE) FROM up u JOIN tree_steps_ s ON u.tree_id = s.tree_id AND u.ancestor = s.node)
-        SELECT * FROM up""")
+def closure(edges: DataFrame) -> DataFrame:
+    """(tree_id, ancestor, node, edges, length): every node with itself and all its ancestors, by doubling of paths.
+
+    After k rounds ``paths`` holds all paths of 1 to 2**k edges; a round joins its longest ones with all of them. Written each
+    round, so neither rows nor depth are limited.
+    """
+    from ..llm.common import stored  # only here: the other operators work without that subpackage
+
+    paths = stored(edges.select("tree_id", F.col("source").alias("ancestor"), F.col("target").alias("node"), F.lit(1).alias("edges"), F.col("length").cast("double").alias("length")), "paths")
+    nodes = paths.select("tree_id", "node").union(paths.select("tree_id", "ancestor")).distinct()
+    reach = 1
+    while True:
+        upper = paths.where(F.col("edges") == reach).select("tree_id", "ancestor", F.col("node").alias("middle"), F.col("edges").alias("e"), F.col("length").alias("l"))
+        longer = upper.join(paths.withColumnRenamed("ancestor", "middle"), ["tree_id", "middle"])
+        longer = stored(longer.select("tree_id", "ancestor", "node", (F.col("e") + F.col("edges")).alias("edges"), (F.col("l") + F.col("length")).alias("length")), "paths")
+        if not longer.limit(1).count():
+            break
+        paths, reach = paths.unionByName(longer), reach * 2
+    return paths.unionByName(nodes.select("tree_id", F.col("node").alias("ancestor"), "node", F.lit(0).alias("edges"), F.lit(0.0).alias("length")))
 
 
 def tree_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
