@@ -183,7 +183,7 @@ def variant_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def passage_select(spark: SparkSession, d: str) -> DataFrame:
     wanted = derived.table(spark, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("passage_id")).count().where("count >= 2")
-    return derived.segments(spark, d).join(wanted, "passage_id", "left_semi").select("passage_id", "seg_no", "kind", "text")
+    return editions.passage_select(derived.segments(spark, d), wanted).select("passage_id", "seg_no", "kind", "text")
 
 
 def pick_reading(spark: SparkSession, d: str) -> DataFrame:

@@ -116,7 +116,7 @@ def segments(documents: DataFrame) -> DataFrame:
 
 def passage_select(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Segments of the passages in ``wanted`` (passage_id)."""
-    return parsed.join(F.broadcast(wanted.select("passage_id").distinct()), "passage_id", "left_semi")
+    return parsed.join(wanted.select("passage_id").distinct(), "passage_id", "left_semi")
 
 
 def variant_texts(parsed: DataFrame) -> DataFrame:
