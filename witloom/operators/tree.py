@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .columns import pick_reading
 from .stats import COLUMN
 
@@ -44,8 +45,6 @@ def closure(edges: DataFrame) -> DataFrame:
     After k rounds ``paths`` holds all paths of 1 to 2**k edges; a round joins its longest ones with all of them. Written each
     round, so neither rows nor depth are limited.
     """
-    from ..llm.common import stored  # only here: the other operators work without that subpackage
-
     paths = stored(edges.select("tree_id", F.col("source").alias("ancestor"), F.col("target").alias("node"), F.lit(1).alias("edges"), F.col("length").cast("double").alias("length")), "paths")
     nodes = paths.select("tree_id", "node").union(paths.select("tree_id", "ancestor")).distinct()
     reach = 1
