@@ -1,19 +1,16 @@
-"""What the training-data operators share: reading tables, the shared folder, written intermediate tables."""
+"""What the training-data operators share: reading tables, texts and their words."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, shared_dir, stored  # noqa: F401
+
 #: ASCII white space as the contracts define it: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,43 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    if set_before := spark.sparkContext.getCheckpointDir():
-        return set_before.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    made = tempfile.mkdtemp(prefix="spark-llm-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The files go when the application ends (``deleteOnExit``), or earlier through :func:`drop`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._stored_at = path
-    return back
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`stored` that nothing needs any more."""
-    sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -6,8 +6,8 @@ stock finds the multiset that fills the window closest to its capacity; the coun
 multiset is used as often as the stock allows, so at most as many multisets are made as there are lengths.
 
 Only the histogram of lengths (at most ``capacity`` rows, whatever the corpus) reaches the driver. The pieces are
-matched to places by their rank within a length; ranks come from (length, salt) groups and running counts, so
-no length, however common, is sorted in one task.
+matched to places by their rank within a length; ranks come from (length, salt) groups and running counts; a
+length of n pieces has about sqrt(n) groups of sqrt(n) pieces, so no length, however common, is sorted in one task.
 
 Defined results: null text is the empty text (one piece with the end id alone); equal rows are separate documents; an
 empty table gives no rows; other columns are ignored.
@@ -18,30 +18,66 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, text_of
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Pieces of one length are ranked in so many independent groups.
-SALTS = 64
-#: Words whose ids a worker remembers: twice this many at most.
-REMEMBERED = 400_000
-#: Words of these characters alone are cut by PIECES as the vocabulary's own rules cut them (printable ASCII and the
-#: letters of Latin-1: no combining marks, one lower-case form each); all others go to the tokenizer as they are.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+#: Words whose ids a worker remembers before it starts afresh.
+REMEMBERED = 600_000
+#: Bytes of text that are cut into words together.
+TOGETHER = 6_000_000
+#: How the vocabulary's own rules cut a lower-case word of plain characters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Plain characters: printable ASCII and the letters of Latin-1 (no combining marks, one lower-case form each).
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+# Classes of bytes: line end, letter, digit, mark, first and second byte of a Latin-1 letter, anything else.
+END, LETTER, DIGIT, MARK, FIRST, SECOND, ODD = range(7)
+CLASSES = np.full(256, ODD, np.uint8)
+CLASSES[33:127] = MARK
+CLASSES[65:91] = CLASSES[97:123] = LETTER
+CLASSES[48:58] = DIGIT
+CLASSES[10], CLASSES[0xC3], CLASSES[0x80:0xC0] = END, FIRST, SECOND
+
+
+def cut_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which ``words`` are plain; those in lower case, end to end; where their pieces start; pieces of each.
+
+    A word with an apostrophe is none of these: its pieces need the pattern.
+    """
+    raw = np.frombuffer(b"\n".join([*words, b""]), np.uint8)
+    kind = CLASSES[raw]
+    before = np.concatenate([np.array([10], np.uint8), raw[:-1]])
+    ends = np.flatnonzero(kind == END)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    second = kind == SECOND
+    odd = (kind == ODD) | (raw == ord("'")) | (second & ((before != 0xC3) | (raw == 0x97) | (raw == 0xB7))) | ((raw == ord("|")) & (before == ord("<")))
+    odd[:-1] |= (kind[:-1] == FIRST) & ~second[1:]
+    plain = ~np.logical_or.reduceat(odd, starts)
+    low = raw + np.uint8(32) * (((kind == LETTER) & (raw < 97)) | (second & (raw <= 0x9E)))
+    kind = np.where((kind == FIRST) | second, np.uint8(LETTER), kind)
+    first = (kind != END) & ((kind != np.concatenate([np.array([END], np.uint8), kind[:-1]])) | (kind == DIGIT))
+    kept = np.repeat(plain, ends - starts + 1) & (kind != END)
+    return plain, low[kept], np.flatnonzero(first[kept]), np.add.reduceat(first, starts, dtype=np.int64)[plain]
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` with these starts and lengths, end to end."""
+    upto = np.cumsum(lengths)
+    return pool[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - lengths), lengths)]
 
 
 class WordIds:
-    """Ids of words without white space, as little-endian bytes: no token of this vocabulary spans white space.
+    """Ids of words without white space: no token of this vocabulary spans white space.
 
-    New words are encoded together: their pieces, joined by spaces, go through the same merges in one call, and the
-    tokens that end a piece show where each word's ids end.
+    New plain words are cut together as arrays; their different pieces, joined by spaces, go through the same merges in
+    one call, and the tokens that end a piece show where its ids end.
     """
 
     def __init__(self, path: str):
@@ -54,39 +90,68 @@ class WordIds:
         for token, i in self.whole.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values of byte-level vocabularies: these bytes stand for themselves
+        self.letters = np.arange(256, dtype="<u4")
         moved = [b for b in range(256) if b not in kept]
-        self.letters = {b: chr(256 + i) for i, b in enumerate(moved) if b != 32}
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes ``self.new`` hold every word of ``words``."""
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        missing = words - self.new.keys()
-        for w in missing & self.old.keys():
-            self.new[w] = self.old[w]
-        plain: list[bytes] = []
-        parts: list[str] = []
-        upto: list[int] = []
-        for w in missing - self.old.keys():
-            text = w.decode("utf-8", "replace")
-            if PLAIN.match(text) and "<|" not in text:
-                parts += PIECES.findall(text.lower())
-                plain.append(w)
-                upto.append(len(parts))
-            else:
-                self.new[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if plain:
-            joined = " ".join(parts).encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(parts):
-                raise ValueError("the vocabulary does not mark the ends of pieces")
-            cut, raw, start = (4 * ends[np.array(upto) - 1]).tolist(), ids.tobytes(), 0
-            for w, end in zip(plain, cut, strict=True):
-                self.new[w] = raw[start:end]
-                start = end
+        self.letters[moved] = np.arange(256, 256 + len(moved))
+        self.letters[32] = 32
+        self.forget()
+
+    def forget(self) -> None:
+        """The empty word, at place 0, has no ids."""
+        self.places: dict[bytes, int] = {b"": 0}
+        self.pool, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _piece_ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the different pieces end to end, and each piece's start and length there."""
+        n = len(starts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), n, [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+        kinds = coded.dictionary
+        at = np.frombuffer(kinds.buffers()[1], np.int64)[kinds.offset : kinds.offset + len(kinds) + 1]
+        low = np.frombuffer(kinds.buffers()[2], np.uint8)[at[0] : at[-1]]
+        spaced = np.full(len(low) + len(kinds), 32, np.uint8)
+        spaced[np.arange(len(low)) + np.repeat(np.arange(len(kinds)), np.diff(at))] = low
+        ids = np.array(self.pieces.encode_batch_fast([self.letters[spaced].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(kinds):
+            raise ValueError("the vocabulary does not mark the ends of pieces")
+        first = np.concatenate([[0], ends[:-1]])
+        which = coded.indices.to_numpy()
+        return ids, first[which], (ends - first)[which]
+
+    def learn(self, words: list[bytes]) -> None:
+        plain, data, starts, pieces = cut_words(words)
+        ids, first, lengths = self._piece_ids(data, starts)
+        upto = np.cumsum(pieces)
+        size = np.add.reduceat(lengths, upto - pieces) if len(pieces) else np.zeros(0, np.int64)
+        rest = [np.array(self.slow(w), "<u4") for w in (words[i] for i in np.flatnonzero(~plain).tolist())]
+        more = np.concatenate([size, np.array([len(x) for x in rest], np.int64)])
+        base, held = len(self.places), len(self.pool)
+        self.pool = np.concatenate([self.pool, gathered(ids, first, lengths), *rest])
+        self.starts, self.lengths = np.concatenate([self.starts, held + np.cumsum(more) - more]), np.concatenate([self.lengths, more])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).tolist()
+        self.places.update(zip([words[i] for i in order], range(base, base + len(words)), strict=True))
+
+    def slow(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        if PLAIN.match(text) and "<|" not in text:
+            cut = PIECES.findall(text.lower())
+            joined = self.letters[np.frombuffer(" ".join(cut).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            return self.pieces.encode(joined, add_special_tokens=False).ids
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (an array of binary) end to end, and how many each has."""
+        coded = words.dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        if len(self.places) > REMEMBERED:
+            self.forget()
+        if missing := [w for w in kinds if w not in self.places]:
+            self.learn(missing)
+        at = np.fromiter(map(self.places.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
+        return gathered(self.pool, self.starts[at], self.lengths[at]), self.lengths[at]
 
 
 _words: dict[str, WordIds] = {}
@@ -94,18 +159,20 @@ _words: dict[str, WordIds] = {}
 
 def cut_pieces(tokenizer_path: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, WordIds(tokenizer_path))
-        end = np.array([end_id], "<u4").tobytes()
-        for batch, texts in slices(batches, "text", 2_000_000):
+        known = _words.get(tokenizer_path) or _words.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        for batch, texts in slices(batches, "text", TOGETHER):
+            # Bytes as they are: words are cut at ASCII white space alone.
+            split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+            ids, sizes = known.ids_of(split.flatten().view(pa.large_binary()))
+            upto = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
+            ids = np.insert(ids, upto[1:], end_id).astype("<u4")
+            bounds = (upto + np.arange(len(upto))).tolist()
+            raw = memoryview(ids.tobytes())
             out: list[list] = [[], [], [], [], []]
-            split = [text.split() for text in texts]
-            words.learn({w for text in split for w in text})
-            for doc, text in zip(batch.column(0).to_pylist(), split, strict=True):
-                ids = b"".join(map(words.new.__getitem__, text)) + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    for values, v in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+            for doc, low, high in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                for start in range(low, high, capacity):
+                    length = min(capacity, high - start)
+                    for values, v in zip(out, (doc, start - low, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), high - low), strict=True):
                         values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -166,22 +233,25 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     """One row per piece: PIECE plus sequence_id and offset. No sequence is longer than ``capacity``."""
     spark: SparkSession = docs.sparkSession
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).mapInArrow(cut_pieces(tokenizer_path, end_id, capacity), PIECE)
-    pieces = stored(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS))), "pieces")
-    counts = stored(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
+    pieces = stored(pieces, "pieces")
     # At most ``capacity`` rows, one for each length that a piece can have.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        plan_windows(histogram, capacity),
-        "length long, first_rank long, ranks long, per_window long, base long, first_window long",
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    slots: dict[int, list[tuple]] = {length: [] for length in histogram}
+    for length, *row in plan_windows(histogram, capacity):
+        slots[length].append(tuple(row))
+    known = spark.createDataFrame(
+        [(length, isqrt(n) + 1, slots[length]) for length, n in histogram.items()],
+        "length long, salts long, slots array<struct<first_rank:long,ranks:long,per_window:long,base:long,first_window:long>>",
     )
+    salted = pieces.join(F.broadcast(known.select("length", "salts")), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")))
+    counts = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("within", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "salt"])
+    ranked = salted.withColumn("within", F.row_number().over(order) - 1).join(before, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("within") + F.col("before"))
     # The plan's rows of one length tile its ranks without overlap: an equi-join on length, then one row fits.
-    slots = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "ranks", "per_window", "base", "first_window"))).alias("slots"))
-    placed = ranked.join(F.broadcast(slots), "length").withColumn(
+    placed = ranked.join(F.broadcast(known.select("length", "slots")), "length").withColumn(
         "slot", F.element_at(F.filter("slots", lambda s: (s["first_rank"] <= F.col("rank")) & (F.col("rank") < s["first_rank"] + s["ranks"])), 1)
     )
     at = F.col("rank") - F.col("slot.first_rank")
