@@ -1,10 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes text blocks, each with its root-to-leaf path of block tags. Per path: text length, punctuation marks,
-and nodes. The two ratios (text per node, punctuation per node) are fused, smoothed along the page, and a path counts
-as content if its mean reaches a share of the spread over the page. The element that holds the selected blocks is the
-article; its headings and short blocks come with it. Elements that are never article text (menus, forms, adverts, ...)
-are told by tag, role or class and take no part.
+A page becomes text blocks, each with its root-to-leaf path of block tags. Per path: text length outside links, punctuation
+marks, and nodes. The two ratios (text per node, punctuation per node) are fused and smoothed along the page among
+siblings; what tag names, roles and classes say (menus, adverts, forms, comments; articles) is one more factor of a
+path's score. Paths whose score reaches a share of the best one and of the spread over the page are content, and their
+blocks are the text. Short blocks that paragraphs surround (headings, list items, cells, captions) come with them.
+
+So names alone never choose a block: a link box or a list of remarks inside an article falls by its ratios, and a page
+that names nothing is read by its ratios alone. A list that ends an article falls too if it is as short as remarks are.
 
 Defined results: null or empty html, or a page without content, gives empty text; broken or cut-off markup is read to
 its end; ids may be null or repeated (one row out for each row in); other columns are ignored.
@@ -17,6 +20,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from math import sqrt
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,57 +46,75 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login register share sharing social related recommended comment comments commentlist disqus respond reply replies "
     "widget toolbar pager pagination search skip copyright disclaimer form".split()
 )
+#: The same for elements that may name their whole page's parts.
+HOLDER_MARKS = frozenset("ad ads advert advertisement comment comments promo related reply sponsored".split())
 HOLDERS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements whose short blocks belong to the paragraphs around them.
+FILLED = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
+#: Share of the best score that such blocks need above and below all paragraphs.
+OF_FILLED = 0.05
+#: Factor of a path's score for elements named as no article text, and for articles; least score of content.
+MARKED, HELD, LEAST = 0.0005, 10.0, 1.0
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-class Block:
-    __slots__ = ("chain", "linked", "path", "text")
+class Block(NamedTuple):
+    """``path`` joins block tags, with ``!`` behind those named as no article text; ``chain`` numbers these elements."""
+
+    path: str
+    chain: tuple[int, ...]
+    text: str
+    linked: int
+
 
-    def __init__(self, path: str, chain: tuple[int, ...], text: str, linked: int):
-        self.path, self.chain, self.text, self.linked = path, chain, text, linked
+#: Signs behind a tag in a path: no article text by its name; not shown at all.
+NAMED, HIDDEN = "!", "?"
 
 
-def _outside(name: str, attributes: str, in_holder: bool) -> bool:
-    if name in OUT or name == "header" and not in_holder:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+def _outside(name: str, attributes: str, in_holder: bool) -> str:
+    """The sign of an element, empty for most."""
+    kind = NAMED if name in OUT or name == "header" and not in_holder else ""
+    if name == "head":
+        return HIDDEN
+    if not attributes or name in ("html", "body"):
+        return kind
+    marks = HOLDER_MARKS if name in HOLDERS else MARKS
     for key, a, b, c, bare in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         key = key.lower()
         if bare or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key == "role" and value in ROLES or key in ("class", "id") and MARKS & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())):
-            return True
-    return False
+            return HIDDEN
+        if key == "role" and value in ROLES or key in ("class", "id") and marks & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())):
+            kind = NAMED
+    return kind
 
 
 def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The text blocks of a page that are not marked as outside the article, in page order; tag by element number."""
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, outside, element
+    """The text blocks of a page, in page order; tag by element number. Hidden elements, scripts and styles have none."""
+    stack: list[tuple[str, str, int]] = [("", "", 0)]  # tag, path's name of it, element
     tags = {0: ""}
     found: list[Block] = []
     parts: list[str] = []
-    linked = links = holders = 0
+    linked = links = holders = hidden = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not stack[-1][1]:
-                shown = [x for x in stack if x[0] not in INLINE]
-                found.append(Block("/".join(x[0] for x in shown), tuple(x[2] for x in shown), text, linked))
+            if text and not hidden:
+                shown = [x for x in stack if x[0] not in INLINE or x[1] != x[0]]
+                found.append(Block("/".join(x[1] for x in shown), tuple(x[2] for x in shown), text, linked))
             parts.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal links, holders
+        nonlocal links, holders, hidden
         while len(stack) > depth:
-            if any(x[0] not in INLINE for x in stack[depth:]):
+            if any(x[0] not in INLINE or x[1] != x[0] for x in stack[depth:]):
                 flush()
-            name = stack.pop()[0]
+            name, shown, _ = stack.pop()
+            hidden -= shown == name + HIDDEN
             links -= name == "a"
             holders -= name in HOLDERS
 
@@ -100,7 +122,7 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     while at < end:
         m = TAG.search(page, at)
         upto = m.start() if m else end
-        if upto > at and not stack[-1][1]:
+        if upto > at and not hidden:
             text = html.unescape(page[at:upto])
             parts.append(text)
             if links:
@@ -147,8 +169,11 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
                             break
             element = len(tags)
             tags[element] = name
-            outside = stack[-1][1] or _outside(name, attributes, holders > 0)
-            stack.append((name, outside, element))
+            kind = _outside(name, attributes, holders > 0)
+            if kind and name in INLINE:
+                flush()
+            hidden += kind == HIDDEN
+            stack.append((name, name + kind, element))
             links += name == "a"
             holders += name in HOLDERS
     pop_to(1)
@@ -156,57 +181,68 @@ def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
     return found, tags
 
 
-def content_paths(found: list[Block], share: float = 0.5) -> set[str]:
-    """Paths whose smoothed fused ratio reaches ``share`` of its standard deviation over the page's blocks."""
+def path_ratios(found: list[Block]) -> dict[str, tuple[float, float]]:
+    """Text outside links per node and punctuation marks per node of every path."""
     length: dict[str, int] = defaultdict(int)
     marks: dict[str, int] = defaultdict(int)
     nodes: dict[str, int] = defaultdict(int)
     for b in found:
-        length[b.path] += len(b.text) - b.linked
+        length[b.path] += max(0, len(b.text) - b.linked)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         nodes[b.path] += 1
-    fused = [(length[b.path] / nodes[b.path]) * (1 + marks[b.path] / nodes[b.path]) for b in found]
-    weights = (0.25, 0.5, 0.25)  # a Gaussian of radius 1
-    smooth = [sum(w * fused[min(max(i + d, 0), len(fused) - 1)] for w, d in zip(weights, (-1, 0, 1), strict=True)) for i in range(len(fused))]
-    mean = sum(smooth) / len(smooth)
-    limit = share * sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    score: dict[str, float] = defaultdict(float)
-    for b, x in zip(found, smooth, strict=True):
-        score[b.path] += x / nodes[b.path]
-    best = max(score.values())
-    return {p for p, x in score.items() if x >= limit and (x >= 0.1 * best)}
-
-
-def main_blocks(page: str) -> list[str]:
+    return {p: (length[p] / n, marks[p] / n) for p, n in nodes.items()}
+
+
+def path_scores(found: list[Block], measured: bool = True, named: bool = True) -> dict[str, float]:
+    """Score of every path: fused ratios, smoothed among siblings, times what the names say.
+
+    Without ``measured`` all ratios count as 1, without ``named`` all names do: for tests of what each decides.
+    """
+    ratios = path_ratios(found)
+    fused = [ratios[b.path][0] * (1 + ratios[b.path][1]) if measured else 1.0 for b in found]
+    total: dict[str, float] = defaultdict(float)
+    nodes: dict[str, int] = defaultdict(int)
+    for i, b in enumerate(found):
+        # A Gaussian of radius 1; the place of a neighbour with another parent is taken by the block itself.
+        near = [fused[j] if 0 <= j < len(found) and found[j].chain[:-1] == b.chain[:-1] else fused[i] for j in (i - 1, i + 1)]
+        total[b.path] += 0.5 * fused[i] + 0.25 * sum(near)
+        nodes[b.path] += 1
+    return {p: total[p] / nodes[p] * (weight(p) if named else 1.0) for p in total}
+
+
+def weight(path: str) -> float:
+    return MARKED if NAMED in path else HELD if HOLDERS & set(path.split("/")) else 1.0
+
+
+def content_paths(found: list[Block], score: dict[str, float], share: float = 0.5, of_best: float = 0.2, least: float = LEAST) -> set[str]:
+    """Paths whose score reaches ``share`` of the scores' standard deviation over the blocks and ``of_best`` of the best."""
+    mean = sum(score[b.path] for b in found) / len(found)
+    spread = sqrt(sum((score[b.path] - mean) ** 2 for b in found) / len(found))
+    limit = max(share * spread, of_best * max(score.values()), least)
+    return {p for p, x in score.items() if x >= limit}
+
+
+def main_blocks(page: str, measured: bool = True, named: bool = True) -> list[str]:
     found, tags = blocks(page)
-    if not found:
+    score = path_scores(found, measured, named)
+    chosen = content_paths(found, score, least=LEAST if measured else 0.0) if found else set()
+    picked = [i for i, b in enumerate(found) if b.path in chosen]
+    if not picked:
         return []
-    chosen = content_paths(found)
-    picked = [b for b in found if b.path in chosen]
-    # The holders (article or main) of the selected text, or else the innermost element around all of it.
-    text: dict[int, int] = defaultdict(int)
-    for b in picked:
-        for e in b.chain:
-            if tags[e] in HOLDERS:
-                text[e] += len(b.text) - b.linked
-                break
-    if text:
-        least = 0.25 * max(text.values())
-        holders = {e for e, n in text.items() if n >= least}
-        return [b.text for b in found if holders & set(b.chain)]
-    common = picked[0].chain
-    for b in picked:
-        common = common[: next((i for i, (x, y) in enumerate(zip(common, b.chain, strict=False)) if x != y), min(len(common), len(b.chain)))]
-    inside = common[-1] if common else 0
-    closed = tags[inside] not in ("", "html", "body")
-    first, last = found.index(picked[0]), found.index(picked[-1])
-    out = []
-    for i, b in enumerate(found):
-        heading = any(tags[e] in HEADINGS for e in b.chain[-2:])
-        near = inside in b.chain if closed else first - 2 <= i <= last
-        if b.path in chosen or near and b.linked <= 0.5 * len(b.text) and (heading or closed or first <= i <= last):
-            out.append(b.text)
-    return out
+    common = found[picked[0]].chain[:-1] or (0,)
+    for i in picked:
+        chain = found[i].chain[:-1] or (0,)
+        common = common[: next((k for k, (x, y) in enumerate(zip(common, chain, strict=False)) if x != y), min(len(common), len(chain)))]
+    first, last = picked[0], picked[-1]
+    enough = OF_FILLED * max(score.values())
+
+    def filled(i: int, b: Block) -> bool:
+        """A short block between paragraphs, a heading right above the first one, or one not that much below the best."""
+        heading = tags[b.chain[-1]] in HEADINGS
+        between = first < i < last or heading and first - 2 <= i < first or score[b.path] >= enough
+        return between and common[-1] in b.chain and not (named and NAMED in b.path) and b.linked <= 0.5 * len(b.text) and tags[b.chain[-1]] in FILLED
+
+    return [b.text for i, b in enumerate(found) if b.path in chosen or filled(i, b)]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
