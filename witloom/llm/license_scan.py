@@ -3,7 +3,8 @@
 The rolling hashes of all k-grams of words of all documents are joined by Spark to the places of the same hashes in
 license templates. Each match votes for its diagonal (place in the document less place in the template). Votes are
 summed by diagonal, neighbouring diagonals are merged (an inserted or dropped word moves a match to the next one), and
-the span of each merged diagonal is verified word by word against the template.
+the span of each merged diagonal is verified word by word against the template, in overlapping windows of three times
+the template's length: a text that repeats a license for pages is verified in time proportional to its length.
 
 The template side is a fixed list, so it is the broadcast side by construction. Documents are told apart by a 96-bit
 hash and the length of their text, so equal texts are scanned as one key and never meet as rows.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, text_of
+from .license_texts import TEMPLATES
 
 K = 4
 #: Diagonals at most so far apart belong together.
@@ -39,23 +41,6 @@ WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The contract's phrases and labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label and wording of usual license statements.
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "This project is licensed under the terms of the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-)
-
 
 def words_of(text: bytes) -> list[bytes]:
     return WORDS.findall(text.lower())
@@ -101,6 +86,16 @@ def coverage(words: list[bytes], template: list[bytes]) -> float:
     return sum(m.size for m in match.get_matching_blocks()) / len(template)
 
 
+def windows(words: list[bytes], low: int, high: int, length: int) -> Iterator[tuple[bytes, ...]]:
+    """A span in windows of ``3 * length`` words, each a ``length`` behind the one before: a match of up to twice the length lies in one."""
+    low = max(0, low)
+    while True:
+        yield tuple(words[low : min(high, low + 3 * length)])
+        if low + 3 * length >= high:
+            return
+        low += length
+
+
 def _finish(templates: tuple[tuple[str, str], ...]):
     worded = [(label, words_of(t.encode())) for label, t in templates]
     phrases = [(p.encode().split(), label) for p, label in PHRASES]
@@ -127,15 +122,15 @@ def _finish(templates: tuple[tuple[str, str], ...]):
                     first, last, best = min(base), max(base), PHRASE_SCORE
                 for s in found or []:
                     label, template = worded[s["template"]]
-                    part = tuple(words[max(0, s["low"]) : s["high"]])
-                    key = (s["template"], part)
-                    if key not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        seen[key] = coverage(list(part), template)
-                    if seen[key] >= COVERED:
-                        labels.add(label)
-                        best = max(best, seen[key])
+                    for part in windows(words, s["low"], s["high"], len(template)):
+                        key = (s["template"], part)
+                        if key not in seen:
+                            if len(seen) > 5_000:
+                                seen.clear()
+                            seen[key] = coverage(list(part), template)
+                        if seen[key] >= COVERED:
+                            labels.add(label)
+                            best = max(best, seen[key])
                 for values, v in zip(out, (len(words), len(base), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), best, len(found or [])), strict=True):
                     values.append(v)
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
