@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, slices, stored, text_of
+from .common import drop, slices, spread_join, stored, text_of
 from .components import components
 
 BITS = 64
@@ -33,6 +33,8 @@ QUARTERS = 4
 #: Fingerprints under one node (or on both sides of a node pair) that one task traverses at once.
 LEAF = 4096
 STEP = 8
+#: Fingerprints of small nodes that a task holds at a time.
+HELD_ROWS = 200_000
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -139,23 +141,39 @@ def _edges(values: np.ndarray, forest: Forest) -> list[pa.Array]:
 
 
 def _whole_nodes(budget: int):
-    """Rows (quarter, turned) of a partition, sorted: the links below each 16-bit node."""
+    """Rows (quarter, turned) of a partition, sorted by both: the links below each 16-bit node. Whole nodes go as they come."""
+
+    def solve(q: int, values: np.ndarray) -> pa.RecordBatch:
+        values = np.sort(values)
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] >> np.uint64(48) != values[:-1] >> np.uint64(48)]))
+        ends = np.concatenate([starts[1:], [len(values)]])
+        forest = Forest(len(values))
+        for i, j in linked_pairs(values, [starts, ends, starts, ends, np.zeros(len(starts), np.int64)], 16, budget):
+            forest.link(i, j)
+        return pa.RecordBatch.from_arrays(_edges(rotate(values, 64 - 16 * q), forest), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)) for b in batches if b.num_rows]
-        if not held:
-            return
-        quarter, turned = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        for q in range(QUARTERS):
-            values = np.sort(turned[quarter == q])
-            if not len(values):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], values[1:] >> np.uint64(48) != values[:-1] >> np.uint64(48)]))
-            ends = np.concatenate([starts[1:], [len(values)]])
-            forest = Forest(len(values))
-            for i, j in linked_pairs(values, [starts, ends, starts, ends, np.zeros(len(starts), np.int64)], 16, budget):
-                forest.link(i, j)
-            yield pa.RecordBatch.from_arrays(_edges(rotate(values, 64 - 16 * q), forest), ["a", "b"])
+        held, rows = [], 0
+
+        def flush(ended: bool) -> Iterator[pa.RecordBatch]:
+            """Solves the whole nodes held; the last one may go on in the next batch."""
+            nonlocal held, rows
+            quarter, turned = (np.concatenate([h[c] for h in held]) for c in range(2))
+            node = turned >> np.uint64(48)
+            new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (quarter[1:] != quarter[:-1])]))
+            upto = len(turned) if ended else int(new[-1])
+            for q in np.unique(quarter[:upto]).tolist():
+                yield solve(q, turned[:upto][quarter[:upto] == q])
+            held, rows = [(quarter[upto:], turned[upto:])], len(turned) - upto
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)))
+                rows += b.num_rows
+                if rows >= HELD_ROWS:
+                    yield from flush(False)
+        if rows:
+            yield from flush(True)
 
     return run
 
@@ -187,7 +205,6 @@ def split_nodes(turned: DataFrame, budget: int, leaf: int) -> DataFrame | None:
     for depth in range(16 + STEP, BITS + 1, STEP):
         counts = turned.groupBy("quarter", _node(depth).alias("node")).count()
         side = lambda s: counts.select("quarter", F.shiftrightunsigned("node", STEP).alias(s), F.col("node").alias(f"{s}_"), F.col("count").alias(f"{s}_n"))  # noqa: B023, E731
-        far = F.bit_count(F.col("a_").bitwiseXOR(F.col("b_"))) + 0
         grown = pairs.join(side("a"), ["quarter", "a"]).join(side("b"), ["quarter", "b"])
         apart = F.bit_count(F.col("a_").bitwiseAND(2**STEP - 1).bitwiseXOR(F.col("b_").bitwiseAND(2**STEP - 1)))
         grown = grown.where(F.col("error") + apart <= budget).where((F.col("a") != F.col("b")) | (F.col("a_") <= F.col("b_")))
@@ -214,7 +231,7 @@ def links(fingerprints: DataFrame, budget: int = 3, leaf: int = LEAF) -> DataFra
     keyed = turned.withColumn("node", _node(16))
     some = large.limit(1).count() > 0
     rest = keyed.join(large, ["quarter", "node"], "left_anti") if some else keyed
-    found = rest.repartition("quarter", "node").select("quarter", "turned").mapInArrow(_whole_nodes(budget), "a long, b long")
+    found = rest.repartition("quarter", "node").select("quarter", "turned").sortWithinPartitions("quarter", "turned").mapInArrow(_whole_nodes(budget), "a long, b long")
     if some:
         found = found.union(split_nodes(stored(keyed.join(large, ["quarter", "node"], "left_semi").select("quarter", "turned"), "large-turned"), budget, leaf))
     return found
@@ -224,11 +241,11 @@ def near_duplicates(docs: DataFrame, budget: int = 3, size: int = 3, seed: int =
     """doc_id, fingerprint, component_id: one row for each document."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
     prints = stored(text.mapInArrow(_fingerprints(size, seed), "doc_id long, fp long"), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("weight")), "distinct")
-    edges = stored(links(distinct, budget, leaf), "edges")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("weight"), F.count("*").alias("n")), "distinct")
+    edges = stored(links(distinct.select("fp"), budget, leaf), "edges")
     found = components(edges, distinct.select(F.col("fp").alias("node"), "weight"))
-    classes = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.nullif(F.coalesce("component", "weight"), F.lit(2**63 - 1)).alias("component_id"))
-    out = prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "n", F.nullif(F.coalesce("component", "weight"), F.lit(2**63 - 1)).alias("component_id"))
+    out = spread_join(prints, stored(classes, "classes"), ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     drop(edges)
     return out
 

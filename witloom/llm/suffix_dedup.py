@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, slices, stored, text_of
+from .common import drop, slices, spread_join, stored, text_of
 
 LENGTH = 200
 CORE = 100
@@ -381,23 +381,23 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, limit:
         raise ValueError("the core must be shorter than the length, and hold the ordered bytes")
     keyed = keyed_texts(docs)
     anchors = stored(keyed.where(F.col("kn") >= length).mapInArrow(_anchors(length, core), f"{KEY_TYPES}, at array<int>, core array<long>, whole array<long>"), "anchors")
-    cores = anchors.select(F.explode("core").alias("core")).groupBy("core").count().where("count > 1").select("core")
+    cores = anchors.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     cores = stored(cores, "cores")
     places = anchors.select(*KEY, F.explode(F.arrays_zip("at", "core", "whole")).alias("t")).select("t.core", "t.whole", *KEY, "t.at")
-    places = stored(places.join(cores, "core", "left_semi"), "places")
+    places = stored(spread_join(places, cores, ["core"], [*KEY, "at"]), "places")
     drop(anchors)
     drop(cores)
     kinds = places.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     kinds = stored(kinds, "kinds")
-    mixed = kinds.groupBy("core").count().where("count > 1").select("core")
-    asked = kinds.join(mixed, "core", "left_semi").groupBy("one.k1", "one.k2", "one.kn").agg(F.collect_list(F.struct("core", "one.at", (F.col("n") == 1).alias("alone"))).alias("wanted"))
+    mixed = stored(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
+    asked = spread_join(kinds.withColumnRenamed("n", "copies"), mixed, ["core"], ["whole"]).groupBy("one.k1", "one.k2", "one.kn").agg(F.collect_list(F.struct("core", "one.at", (F.col("copies") == 1).alias("alone"))).alias("wanted"))
     contexts = stored(keyed.join(asked, KEY).mapInArrow(_contexts(length, core), CONTEXT), "contexts")
     found = _solve_groups(contexts, length, limit)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
     spans = stored(spans, "spans")
-    whole = places.join(kinds.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("whole"))
+    whole = spread_join(places, kinds.where("n > 1").select("core", "whole", "n"), ["core", "whole"], [*KEY, "at"]).groupBy(*KEY).agg(F.collect_set("at").alias("whole"))
     whole = stored(whole, "whole")
     drop(places)
     drop(kinds)
