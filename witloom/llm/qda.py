@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,20 @@ STATISTICS = ("log_chars", "word_length", "symbols", "digits", "capitals", "end_
 
 @dataclass(frozen=True)
 class Model:
-    """Means and Cholesky factors of both classes, and the log of the classes' odds."""
+    """Means and Cholesky factors of both classes, and the log of the classes' odds; the factors are inverted once."""
 
     means: np.ndarray
     factors: np.ndarray
     log_odds: float
 
+    @cached_property
+    def inverses(self) -> np.ndarray:
+        return np.tril(np.linalg.inv(self.factors))
+
+    @cached_property
+    def log_determinants(self) -> np.ndarray:
+        return np.log(np.diagonal(self.factors, axis1=1, axis2=2)).sum(axis=1)
+
 
 def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
@@ -94,8 +103,8 @@ def score_rows(model: Model, x: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each row of statistics."""
     logs = []
     for k in (0, 1):
-        z = np.linalg.solve(model.factors[k], (x - model.means[k]).T)
-        logs.append(-0.5 * (z * z).sum(axis=0) - np.log(np.diag(model.factors[k])).sum())
+        z = (x - model.means[k]) @ model.inverses[k].T
+        logs.append(-0.5 * (z * z).sum(axis=1) - model.log_determinants[k])
     return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + model.log_odds, -500, 500)))
 
 
