@@ -4,8 +4,8 @@ Every stage is (spark, docs, sf_dir) -> DataFrame. ``run`` writes each stage's r
 reads it again, as the stages' callers do. All stages but the last return the columns of documents: doc_id, text, lang,
 source, n_chars.
 
-Results by case: a null text goes through as the empty text would; equal rows count as separate documents, of which near-dedup
-keeps one; empty tables give empty results; further columns of the input are dropped.
+Results by case: a null text goes through as the empty text would; rows that share an id, or have none, are documents of their
+own, and of equal rows near-dedup keeps one; empty tables give empty results; further columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies; the one that fills a shard's quota is cut behind its last word."""
-    at = F.xxhash64("text", "source", "lang")
+    docs, at = docs.select(*COLUMNS), F.xxhash64("text", "source", "lang")
     taken = mixing.mix(docs.withColumn("at_", at), keep=["at_"], whole=True)
     same = Window.partitionBy("doc_id", "at_").orderBy("taken")
     taken = taken.withColumn("row_", F.row_number().over(same)).select(F.col("doc_id").alias("id_"), "at_", "row_", "size", "taken")
