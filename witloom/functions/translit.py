@@ -49,9 +49,33 @@ def tokens(text: Column, glyphs: list[str], tail: str = "") -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?:{alternatives(glyphs)}|.){tail}"), F.lit(0))
 
 
+#: Private characters that stand for glyphs during a replacement: nothing else reads or writes them.
+PRIVATE = 0xE800
+
+
 def replace_glyphs(text: Column, pairs: dict[str, str]) -> Column:
+    """Glyphs by their counterparts, longest first.
+
+    Long glyphs become private characters, one translation does the single ones, and private characters become their
+    counterparts: whole-text operations instead of an array of glyphs. Texts that hold such characters, and tables with
+    glyphs that overlap each other, go glyph by glyph.
+    """
     table = literal_map(pairs)
-    return F.array_join(F.transform(tokens(text, list(pairs)), lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
+    by_glyph = F.array_join(F.transform(tokens(text, list(pairs)), lambda t: F.coalesce(F.try_element_at(table, t), t)), "")
+    long = sorted((g for g in pairs if len(g) > 1), key=lambda g: (-len(g), g))
+    overlap = any(a[-k:] == b[:k] for a in long for b in long for k in range(1, min(len(a), len(b))) if a != b or k < len(a))
+    if overlap:
+        return by_glyph
+    held = {g: chr(PRIVATE + i) for i, g in enumerate([*long, *(g for g in pairs if len(g) == 1 and len(pairs[g]) != 1)])}
+    made = text
+    for g in long:
+        made = F.replace(made, F.lit(g), F.lit(held[g]))
+    single = {g: held.get(g, pairs[g]) for g in pairs if len(g) == 1} | {held[g]: pairs[g] for g in long if len(pairs[g]) == 1}
+    made = F.translate(made, "".join(single), "".join(single.values()))
+    for g, c in held.items():
+        if len(pairs[g]) != 1:
+            made = F.replace(made, F.lit(c), F.lit(pairs[g]))
+    return F.when(text.rlike(f"[\\x{{{PRIVATE:x}}}-\\x{{{PRIVATE + len(held):x}}}]"), by_glyph).otherwise(made)
 
 
 IAST_TO_SLP1 = dict(zip(all_glyphs(IAST), all_glyphs(SLP1), strict=True))
@@ -74,10 +98,11 @@ def split_glyphs(text: Column, scheme: dict[str, list[str]] = SLP1, spaces_apart
 def split_aksaras(text: Column, scheme: dict[str, list[str]] = SLP1) -> Column:
     """Syllables: a unit starts at a space, at a vowel not behind a consonant, at a consonant not behind a consonant,
     and at a mark not behind a vowel; anything else joins the unit before it. Read as states over the glyphs."""
-    kind = {" ": "S"} | {g: k for k, key in (("M", "marks"), ("C", "consonants"), ("V", "vowels")) for g in scheme[key]}
-    table = literal_map(kind)
     glyphs = split_glyphs(text, scheme, spaces_apart=True)
-    of = lambda g: F.coalesce(F.try_element_at(table, g), F.lit("O"))
+
+    def of(g: Column) -> Column:
+        return F.when(g == " ", "S").when(g.isin(scheme["vowels"]), "V").when(g.isin(scheme["consonants"]), "C").when(g.isin(scheme["marks"]), "M").otherwise("O")
+
 
     # A break mark (a character no text holds) before each glyph that starts a unit; then one join and split.
     def marked(all_: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.translit import nexus_reading
 from .stats import COLUMN
 
 #: Symbols of the states after 0, without I, J, O and their small letters.
@@ -12,6 +13,11 @@ SYMBOLS = "123456789ABCDEFGHKLMNPQRSTUVWXYZabcdefghklmnpqrstuvwxyz"
 OVERFLOW = "?"
 
 
+def coded_readings(cells: DataFrame) -> DataFrame:
+    """Readings as states are named in files: trimmed, lower case, Harvard-Kyoto; what differs in spelling of these alone is one state."""
+    return cells.withColumn("reading", nexus_reading(F.col("reading")))
+
+
 def state_numbers(cells: DataFrame) -> DataFrame:
     """Distinct readings of a column by first appearance in witness order, from 1; gaps and ``[]`` have no number."""
     first = cells.where(~F.col("reading").isin("", "[]")).groupBy(*COLUMN, "reading").agg(F.min("wit_ord").alias("first"))
@@ -34,6 +40,14 @@ def nexus_labels(cells: DataFrame) -> DataFrame:
     return numbered.groupBy(*COLUMN).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("state", "reading"))), lambda x: x["reading"]), " ").alias("labels"))
 
 
+def file_labels(cells: DataFrame) -> DataFrame:
+    """Quoted state labels of every column as a file lists them: ``[]``, the label of symbol 0, always first."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    states = F.transform(F.sort_array(F.collect_list(F.when(F.col("state").isNotNull(), F.struct("state", "reading")))), lambda x: quoted(x["reading"]))
+    numbered = cells.select(*COLUMN).distinct().join(state_numbers(cells), COLUMN, "left")
+    return numbered.groupBy(*COLUMN).agg(F.array_join(F.concat(F.array(F.lit("'[]'")), states), " ").alias("labels"))
+
+
 def mask_runs(states: DataFrame, least: int = 8) -> DataFrame:
     """Runs of ``least`` or more ``0`` in a row become ``-``: the island of a cell is its place in the row less its rank among equals."""
     island = F.row_number().over(Window.partitionBy("passage_id", "siglum").orderBy("n")) - F.row_number().over(Window.partitionBy("passage_id", "siglum", "symbol").orderBy("n"))

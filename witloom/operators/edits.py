@@ -10,18 +10,18 @@ from .stats import COLUMN, empty_columns, empty_rows
 
 
 def insert_columns(cells: DataFrame, inserts: DataFrame) -> DataFrame:
-    """``inserts`` (passage_id, n, count): gap columns behind column n.
+    """``inserts`` (passage_id, n, count): gap columns behind column n; further columns of cells move along, null in gaps.
 
     Each passage's inserts are one small array on its rows, so cells move by a column expression.
     """
     per = inserts.groupBy("passage_id").agg(F.sort_array(F.collect_list(F.struct("n", "count"))).alias("inserts"))
     held = cells.join(per, "passage_id", "left").withColumn("inserts", F.coalesce("inserts", F.array().cast("array<struct<n:int,count:int>>")))
     before = lambda n: F.aggregate(F.filter("inserts", lambda i: i["n"] < n), F.lit(0), lambda a, i: a + i["count"])
-    moved = held.select("passage_id", "siglum", "wit_ord", (F.col("n") + before(F.col("n"))).alias("n"), "reading")
+    moved = held.withColumn("n", F.col("n") + before(F.col("n"))).select(*cells.columns)
     rows = held.select("passage_id", "siglum", "wit_ord", "inserts").distinct()
     gaps = rows.select("*", F.explode("inserts").alias("i")).select("passage_id", "siglum", "wit_ord", "inserts", "i", F.explode(F.sequence(F.lit(1), F.col("i.count"))).alias("k"))
     gaps = gaps.select("passage_id", "siglum", "wit_ord", (F.col("i.n") + before(F.col("i.n")) + F.col("k")).alias("n"), F.lit("").alias("reading"))
-    return moved.unionByName(gaps)
+    return moved.unionByName(gaps, allowMissingColumns=True)
 
 
 def delete_columns(cells: DataFrame, columns: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,11 +61,19 @@ def apply_cell_edits(cells: DataFrame, edits: DataFrame, reconstructed: DataFram
 
 
 def add_row(cells: DataFrame, siglum: str) -> DataFrame:
-    """A row of gaps below the last witness of every passage."""
+    """A row of gaps below the last witness of every passage; further columns of cells are null in it."""
     columns = cells.groupBy(*COLUMN).agg(F.max("wit_ord").alias("w"))
     order = F.max("w").over(Window.partitionBy("passage_id")) + 1
     new = columns.select("passage_id", F.lit(siglum).alias("siglum"), order.alias("wit_ord"), "n", F.lit("").alias("reading"))
-    return cells.select(*new.columns).unionByName(new)
+    return cells.unionByName(new, allowMissingColumns=True)
+
+
+def delete_rows(cells: DataFrame, named: DataFrame) -> DataFrame:
+    """Cells without the witnesses ``named`` (passage_id, siglum); the others keep their order, numbered densely."""
+    left = cells.join(named.select("passage_id", "siglum").distinct(), ["passage_id", "siglum"], "left_anti")
+    rows = left.select("passage_id", "siglum", "wit_ord").distinct()
+    placed = rows.select("passage_id", "siglum", (F.row_number().over(Window.partitionBy("passage_id").orderBy("wit_ord")) - 1).alias("new_ord"))
+    return left.join(placed, ["passage_id", "siglum"]).withColumn("wit_ord", F.col("new_ord").cast("int")).select(*cells.columns)
 
 
 def delete_empty_rows(cells: DataFrame) -> DataFrame:

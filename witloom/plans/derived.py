@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,20 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def witness_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight witnesses a passage, of at most 120 characters."""
-    seq = F.substring(F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " ")), 1, 120)
-    number = F.col("doc_id") % 8
-    return table(spark, sf_dir, "documents").select(
-        F.floor(F.col("doc_id") / 8).cast("long").alias("passage_id"), number.cast("int").alias("wit_ord"), F.concat(F.lit("W"), number.cast("string")).alias("siglum"), seq.alias("seq")
-    )
+#: Letters of the texts that stand for romanised ones, so that transliteration and normalisation meet diacritics.
+LETTERS = ("éèêüöäñçóáíßÉÈÊÜÖÄÑÇÓÁÍxqj", "āīūṛṝāñśṝāīṣāīūṛṝāñśṝāīṣṭñ")
+
+
+def romanised(text: str = "text") -> Column:
+    """Lower case, words of letters alone."""
+    kept = "a-zA-Z" + "".join(sorted(set(LETTERS[1])))
+    return F.lower(F.regexp_replace(F.translate(text, *LETTERS), f"[^{kept}]+", " "))
 
 
-def witness_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def witness_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight witnesses a passage, whole texts."""
     number = F.col("doc_id") % 8
     return table(spark, sf_dir, "documents").select(
-        F.floor(F.col("doc_id") / 8).cast("long").alias("passage_id"), number.cast("int").alias("wit_ord"), F.concat(F.lit("W"), number.cast("string")).alias("siglum"), F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " ")).alias("seq")
+        F.floor(F.col("doc_id") / 8).cast("long").alias("passage_id"), number.cast("int").alias("wit_ord"), F.concat(F.lit("W"), number.cast("string")).alias("siglum"), romanised().alias("seq")
     )
 
 
@@ -33,13 +34,21 @@ def witness_segments(spark: SparkSession, sf_dir: str, size: int = 120) -> DataF
     The k-th segments of eight witnesses are the passage ``group.k``; a witness has no row in passages behind its end.
     """
     pieces = F.regexp_extract_all("seq", F.lit(f".{{1,{size - 1}}}(?: |$)|.{{1,{size}}}"), F.lit(0))
-    cut = witness_text(spark, sf_dir).select("passage_id", "wit_ord", "siglum", F.posexplode(F.when(F.length("seq") > 0, pieces).otherwise(F.array("seq"))).alias("k", "seq"))
+    cut = witness_seq(spark, sf_dir).select("passage_id", "wit_ord", "siglum", F.posexplode(F.when(F.length("seq") > 0, pieces).otherwise(F.array("seq"))).alias("k", "seq"))
     return cut.select(F.concat_ws(".", "passage_id", "k").alias("passage_id"), "wit_ord", "siglum", "seq")
 
 
 def words_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts, lower case, words of letters alone."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " ")).alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", romanised().alias("seq"))
+
+
+def passage_of() -> Column:
+    return F.floor(F.col("l_orderkey") / 16).cast("long").alias("passage_id")
+
+
+def column_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the few columns of the corpus, from one pruned scan."""
+    return table(spark, sf_dir, "lineitem").agg(F.sort_array(F.collect_set((F.col("l_linenumber") - 1).cast("int"))).alias("ns"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,19 +56,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The grid of a passage is the cross product of its witnesses and the few columns of the corpus.
     """
-    raw = table(spark, sf_dir, "lineitem").groupBy(
-        F.floor(F.col("l_orderkey") / 16).cast("long").alias("passage_id"), (F.col("l_orderkey") % 16).cast("int").alias("wit_ord"), (F.col("l_linenumber") - 1).cast("int").alias("n")
-    )
+    raw = table(spark, sf_dir, "lineitem").groupBy(passage_of(), (F.col("l_orderkey") % 16).cast("int").alias("wit_ord"), (F.col("l_linenumber") - 1).cast("int").alias("n"))
     raw = raw.agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("reading"))
     # One row a witness with a map of its readings: the grid is filled without a second shuffle of cells.
     rows = raw.groupBy("passage_id", "wit_ord").agg(F.map_from_entries(F.collect_list(F.struct("n", "reading"))).alias("held"))
-    columns = raw.select("n").distinct().groupBy().agg(F.sort_array(F.collect_set("n")).alias("ns"))
-    grid = rows.crossJoin(F.broadcast(columns)).select("passage_id", "wit_ord", "held", F.explode("ns").alias("n"))
+    grid = rows.crossJoin(F.broadcast(column_numbers(spark, sf_dir))).select("passage_id", "wit_ord", "held", F.explode("ns").alias("n"))
     return grid.select("passage_id", "wit_ord", F.concat(F.lit("W"), F.col("wit_ord").cast("string")).alias("siglum"), "n", F.coalesce(F.try_element_at("held", "n"), F.lit("")).alias("reading"))
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distinct = cells(spark, sf_dir).select("passage_id", "n").distinct()
+    passages = table(spark, sf_dir, "lineitem").select(passage_of()).distinct()
+    distinct = passages.crossJoin(F.broadcast(column_numbers(spark, sf_dir))).select("passage_id", F.explode("ns").alias("n"))
     return distinct.select("passage_id", "n", F.floor(F.col("n") / 3).cast("int").alias("group_id"), (F.col("n") % 7 == 5).alias("insignificant"), (F.col("n") % 7 == 2).alias("binary"))
 
 

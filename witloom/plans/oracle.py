@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from ..functions.normalise import COLLAPSE_SPACES, RULES
 from ..functions.translit import HK_FROM, HK_TO, IAST, IAST_TO_SLP1, SLP1, all_glyphs, alternatives
-from ..operators.coding import SYMBOLS
+
+#: The letters and symbols that the queries use, stated again: nothing of what is checked is read from the code.
+FROM, TO = "éèêüöäñçóáíßÉÈÊÜÖÄÑÇÓÁÍxqj", "āīūṛṝāñśṝāīṣāīūṛṝāñśṝāīṣṭñ"
+ROMAN = f"lower(regexp_replace(translate(text, '{FROM}', '{TO}'), '[^a-zA-Zñāīśūṛṝṣṭ]+', ' ', 'g'))"
+STATES = "123456789ABCDEFGHKLMNPQRSTUVWXYZabcdefghklmnpqrstuvwxyz"
 
 VIEWS = {
-    "seqs": """SELECT CAST(floor(doc_id / 8) AS BIGINT) AS passage_id, CAST(doc_id % 8 AS INTEGER) AS wit_ord, 'W' || CAST(doc_id % 8 AS VARCHAR) AS siglum,
-        substr(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), 1, 120) AS seq FROM documents""",
-    "texts": "SELECT doc_id, lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')) AS seq FROM documents",
+    "seqs": f"""SELECT CAST(floor(doc_id / 8) AS BIGINT) AS passage_id, CAST(doc_id % 8 AS INTEGER) AS wit_ord, 'W' || CAST(doc_id % 8 AS VARCHAR) AS siglum,
+        {ROMAN} AS seq FROM documents""",
+    "texts": f"SELECT doc_id, {ROMAN} AS seq FROM documents",
     "raw_cells": """SELECT CAST(floor(l_orderkey / 16) AS BIGINT) AS passage_id, CAST(l_orderkey % 16 AS INTEGER) AS wit_ord, CAST(l_linenumber - 1 AS INTEGER) AS n,
         min(l_returnflag || l_linestatus) AS reading FROM lineitem GROUP BY 1, 2, 3""",
     "cells": """SELECT w.passage_id, w.wit_ord, 'W' || CAST(w.wit_ord AS VARCHAR) AS siglum, c.n, coalesce(r.reading, '') AS reading
@@ -22,16 +26,19 @@ VIEWS = {
     "marked": "SELECT passage_id, wit_ord, siglum, n, CASE WHEN reading = '' THEN '[]' ELSE reading END AS reading FROM cells",
     "picked": "SELECT passage_id, n FROM cols WHERE (passage_id + n) % 4 = 0",
     "base": "SELECT passage_id, arg_min(siglum, wit_ord) AS base FROM cells GROUP BY 1",
-    "coll": """SELECT c.passage_id, c.n, base, o.reading AS base_reading, c.siglum, c.wit_ord, CASE WHEN c.reading = '' THEN '[om.]' ELSE rtrim(c.reading, ' ') END AS variant, c.reading = o.reading AS agrees
+    "coll": """SELECT c.passage_id, c.n, base, o.reading AS base_reading, c.siglum, c.wit_ord, CASE WHEN c.reading = '' THEN '[om.]' ELSE c.reading END AS variant, c.reading = o.reading AS agrees
         FROM spaced c JOIN base USING (passage_id) JOIN spaced o ON o.passage_id = c.passage_id AND o.n = c.n AND o.siglum = base WHERE c.siglum <> base""",
     "app": """SELECT passage_id, n, CASE WHEN base_reading = '' THEN '[om.]' ELSE rtrim(base_reading, ' ') END AS lemma, suffix(base_reading, ' ') AS spaced,
           coalesce(max(sigla) FILTER (WHERE agrees), '') AS positive, string_agg(v || ' ' || sigla, '; ' ORDER BY first) FILTER (WHERE NOT agrees) AS negative
         FROM (SELECT passage_id, n, base_reading, agrees, CASE WHEN NOT agrees THEN variant END AS v, string_agg(siglum, ' ' ORDER BY wit_ord) AS sigla, min(wit_ord) AS first FROM coll GROUP BY 1, 2, 3, 4, 5)
         GROUP BY passage_id, n, base_reading HAVING count(*) FILTER (WHERE NOT agrees) > 0""",
-    "numbered": "SELECT passage_id, n, reading, row_number() OVER (PARTITION BY passage_id, n ORDER BY min(wit_ord), reading) AS state FROM marked WHERE reading NOT IN ('', '[]') GROUP BY 1, 2, 3",
-    "states": f"""SELECT m.passage_id, m.siglum, m.wit_ord, m.n, CASE WHEN m.reading = '' THEN '-' WHEN m.reading = '[]' THEN '0' WHEN state > {len(SYMBOLS)} THEN '?' ELSE substr('{SYMBOLS}', CAST(state AS INTEGER), 1) END AS symbol
-        FROM marked m LEFT JOIN numbered s ON s.passage_id = m.passage_id AND s.n = m.n AND s.reading = m.reading""",
-    "labels": """SELECT passage_id, n, string_agg(reading, ' ' ORDER BY state) AS labels FROM (SELECT passage_id, n, reading, state FROM numbered UNION ALL SELECT DISTINCT passage_id, n, reading, 0 FROM marked WHERE reading = '[]') GROUP BY 1, 2""",
+    "rdgs": """SELECT passage_id, n, coalesce(max(wits) FILTER (WHERE agrees), '') AS pos, string_agg('<rdg wit="' || wits || '">' || v || '</rdg>', '' ORDER BY first) FILTER (WHERE NOT agrees) AS rdgs
+        FROM (SELECT passage_id, n, agrees, CASE WHEN NOT agrees THEN variant END AS v, string_agg('#' || siglum, ' ' ORDER BY wit_ord) AS wits, min(wit_ord) AS first FROM coll GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
+    "coded": "SELECT passage_id, wit_ord, siglum, n, lower(trim(reading)) AS reading FROM marked",
+    "numbered": "SELECT passage_id, n, reading, row_number() OVER (PARTITION BY passage_id, n ORDER BY min(wit_ord), reading) AS state FROM coded WHERE reading NOT IN ('', '[]') GROUP BY 1, 2, 3",
+    "states": f"""SELECT m.passage_id, m.siglum, m.wit_ord, m.n, CASE WHEN m.reading = '' THEN '-' WHEN m.reading = '[]' THEN '0' WHEN state > 55 THEN '?' ELSE substr('{STATES}', CAST(state AS INTEGER), 1) END AS symbol
+        FROM coded m LEFT JOIN numbered s ON s.passage_id = m.passage_id AND s.n = m.n AND s.reading = m.reading""",
+    "labels": """SELECT passage_id, n, concat_ws(' ', chr(39) || '[]' || chr(39), string_agg(chr(39) || reading || chr(39), ' ' ORDER BY state)) AS labels FROM (SELECT DISTINCT passage_id, n FROM cells) LEFT JOIN numbered USING (passage_id, n) GROUP BY 1, 2""",
     "long_states": "SELECT CAST(floor(passage_id / 10) AS BIGINT) AS passage_id, siglum, wit_ord, CAST((passage_id % 10) * 7 + n AS INTEGER) AS n, symbol FROM states",
     "islands": "SELECT *, row_number() OVER (PARTITION BY passage_id, siglum ORDER BY n) - row_number() OVER (PARTITION BY passage_id, siglum, symbol ORDER BY n) AS island FROM long_states",
     "rows_": """SELECT passage_id, siglum, wit_ord, string_agg(s, '' ORDER BY n) AS states FROM (SELECT *, CASE WHEN symbol = '0' AND count(*) OVER (PARTITION BY passage_id, siglum, symbol, island) >= 8 THEN '-' ELSE symbol END AS s FROM islands) GROUP BY 1, 2, 3""",
@@ -46,8 +53,8 @@ VIEWS = {
 VIEWS["up"] = """SELECT i AS n, i // (1 << k) AS anc, k AS e, CAST(coalesce(list_sum(list_transform(range(k), lambda j: 0.01 * (((i // (1 << j)) * 7) % 13))), 0) AS DOUBLE) AS l
         FROM range(1, 32) t(i), range(0, 5) s(k) WHERE i // (1 << k) >= 1"""
 NEEDS = {
-    "cells": ["raw_cells"], "cols": ["cells"], "norm": ["cells"], "spaced": ["cells"], "holed": ["cells"], "marked": ["cells"], "picked": ["cols"], "base": ["cells"], "coll": ["spaced", "base"], "app": ["coll"],
-    "numbered": ["marked"], "states": ["marked", "numbered"], "labels": ["numbered", "marked"], "long_states": ["states"], "islands": ["long_states"], "rows_": ["islands"], "work": ["cells"], "paths": ["up"],
+    "cells": ["raw_cells"], "cols": ["cells"], "norm": ["cells"], "spaced": ["cells"], "holed": ["cells"], "marked": ["cells"], "picked": ["cols"], "base": ["cells"], "coll": ["spaced", "base"], "app": ["coll"], "rdgs": ["coll"],
+    "coded": ["marked"], "numbered": ["coded"], "states": ["coded", "numbered"], "labels": ["numbered", "cells"], "long_states": ["states"], "islands": ["long_states"], "rows_": ["islands"], "work": ["cells"], "paths": ["up"],
 }
 
 # Fitch on the heap tree, level by level: sets_d and final_d hold the state sets of the nodes 2**d to 2**(d + 1) - 1.
@@ -114,31 +121,31 @@ def normalised(column: str) -> str:
     return column
 
 
-def aksaras(column: str) -> str:
-    """Glyph kinds as a string, cut by one pattern, and the glyphs put together by the cuts' lengths."""
-    g = glyphs(column, all_glyphs(SLP1))
-    kind = f"list_transform({g}, lambda t: CASE WHEN t = ' ' THEN 'S' WHEN list_contains({listed(SLP1['vowels'])}, t) THEN 'V' WHEN list_contains({listed(SLP1['consonants'])}, t) THEN 'C' WHEN list_contains({listed(SLP1['marks'])}, t) THEN 'M' ELSE 'O' END)"
-    return f"SELECT doc_id, {g} AS g, regexp_extract_all(list_aggregate({kind}, 'string_agg', ''), '(?:C+(?:VM?)?|VM?|M|S|O)O*') AS cuts"
-
+# The lower-case letters of SLP1 are one glyph each: consonants with a vowel, a vowel, a space, or another character; others follow.
+AKSARA = "'(?:[kgcjwqtdnpbmyrlvzsh]+[aiufxeo]?|[aiufxeo]| |[^ aiufxeokgcjwqtdnpbmyrlvzsh])[^ aiufxeokgcjwqtdnpbmyrlvzsh]*'"
 
 CELL_XML = "'<w n=\"' || CAST(n AS VARCHAR) || '\"' || CASE WHEN lemma IS NOT NULL AND lemma <> reading THEN ' lemma=\"' || lemma || '\"' ELSE '' END || '>' || reading || '</w>'"
 
+XML_HEAD = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10)"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "fasta_parse": sql("SELECT CAST(passage_id AS VARCHAR) AS passage_id, siglum, CAST(row_number() OVER (PARTITION BY passage_id ORDER BY wit_ord) - 1 AS INTEGER) AS wit_ord, seq FROM seqs", "seqs"),
         "csv_matrix_read": sql("SELECT CAST(passage_id AS VARCHAR) AS passage_id, siglum, CAST(dense_rank() OVER (PARTITION BY passage_id ORDER BY wit_ord) - 1 AS INTEGER) AS wit_ord, n, reading FROM spaced", "spaced"),
         "tei_matrix_read": sql("SELECT CAST(passage_id AS VARCHAR) AS passage_id, siglum, CAST(dense_rank() OVER (PARTITION BY passage_id ORDER BY wit_ord) - 1 AS INTEGER) AS wit_ord, n, reading, CASE WHEN lemma <> reading THEN lemma END AS lemma FROM norm", "norm"),
-        "tei_matrix_write": sql(f"SELECT passage_id, '<teiCorpus>' || chr(10) || string_agg(tei, chr(10) ORDER BY wit_ord) || chr(10) || '</teiCorpus>' AS value FROM (SELECT passage_id, wit_ord, '<TEI n=\"' || siglum || '\"><text>' || string_agg({CELL_XML}, '' ORDER BY n) || '</text></TEI>' AS tei FROM norm GROUP BY passage_id, wit_ord, siglum) GROUP BY 1", "norm"),
+        "tei_matrix_write": sql(f"SELECT passage_id, {XML_HEAD} || '<teiCorpus xmlns=\"http://www.tei-c.org/ns/1.0\">' || chr(10) || string_agg(tei, chr(10) ORDER BY wit_ord) || chr(10) || '</teiCorpus>' AS value FROM (SELECT passage_id, wit_ord, '<TEI n=\"' || siglum || '\"><text>' || string_agg({CELL_XML}, '' ORDER BY n) || '</text></TEI>' AS tei FROM (SELECT passage_id, wit_ord, siglum, n, replace(translate(reading, 'AFNR', 'āṝṅṇ'), 'O', 'au') AS reading, replace(translate(lemma, 'AFNR', 'āṝṅṇ'), 'O', 'au') AS lemma FROM norm) GROUP BY passage_id, wit_ord, siglum) GROUP BY 1", "norm"),
         "csv_matrix_write": sql("SELECT passage_id, string_agg(line, chr(10) ORDER BY wit_ord) AS value FROM (SELECT passage_id, wit_ord, siglum || ',' || string_agg('\"' || reading || '\"', ',' ORDER BY n) AS line FROM spaced GROUP BY passage_id, wit_ord, siglum) GROUP BY 1", "spaced"),
-        "apparatus_write": sql("""SELECT passage_id, '<listWit>' || chr(10) || ws || chr(10) || '</listWit>' || chr(10) || '<p>' || body || '</p>' AS value FROM
-            (SELECT o.passage_id, string_agg(CASE WHEN negative IS NOT NULL THEN '<app><lem wit="' || positive || '">' || lemma || '</lem><rdg>' || negative || '</rdg></app>' || CASE WHEN app.spaced THEN ' ' ELSE '' END ELSE reading END, '' ORDER BY o.n) AS body
-             FROM spaced o JOIN base ON base.passage_id = o.passage_id AND o.siglum = base LEFT JOIN app ON app.passage_id = o.passage_id AND app.n = o.n GROUP BY 1)
-            JOIN (SELECT passage_id, string_agg('<witness xml:id="' || siglum || '"/>', chr(10) ORDER BY wit_ord) AS ws FROM (SELECT DISTINCT passage_id, siglum, wit_ord FROM cells) GROUP BY 1) USING (passage_id)""", "app", "base", "spaced"),
+        "apparatus_write": sql(f"""SELECT passage_id, {XML_HEAD} || '<TEI xmlns="http://www.tei-c.org/ns/1.0" n="' || base || '">' || chr(10) || '<teiHeader><fileDesc><sourceDesc><msDesc><msIdentifier><abbr type="siglum">' || base || '</abbr></msIdentifier></msDesc>'
+                || chr(10) || '<listWit>' || chr(10) || ws || chr(10) || '</listWit></sourceDesc></fileDesc></teiHeader>' || chr(10) || '<text><body><p>' || body || '</p></body></text></TEI>' AS value FROM
+            (SELECT o.passage_id, base, string_agg(CASE WHEN rdgs IS NULL THEN reading ELSE '<app><lem' || CASE WHEN pos <> '' THEN ' wit="' || pos || '"' ELSE '' END || '>' || rtrim(reading, ' ') || '</lem>' || rdgs || '</app>' || CASE WHEN suffix(reading, ' ') THEN ' ' ELSE '' END END, '' ORDER BY o.n) AS body
+             FROM spaced o JOIN base ON base.passage_id = o.passage_id AND o.siglum = base LEFT JOIN rdgs ON rdgs.passage_id = o.passage_id AND rdgs.n = o.n GROUP BY 1, 2)
+            JOIN (SELECT passage_id, string_agg('<witness xml:id="' || siglum || '"><abbr type="siglum">' || siglum || '</abbr></witness>', chr(10) ORDER BY wit_ord) AS ws FROM (SELECT DISTINCT passage_id, siglum, wit_ord FROM cells) GROUP BY 1) USING (passage_id)""", "rdgs", "base", "spaced"),
         "fasta_write": sql("SELECT passage_id, string_agg('>' || siglum || chr(10) || seq, chr(10) ORDER BY wit_ord) AS value FROM seqs GROUP BY 1", "seqs"),
         "subst_hex": "WITH l AS (SELECT DISTINCT unnest(string_split(l_returnflag || l_linestatus, '')) AS label FROM lineitem), m AS (SELECT l_returnflag AS a, l_linestatus AS b, CAST(count(*) AS VARCHAR) AS score FROM lineitem GROUP BY 1, 2) SELECT x.label AS a, y.label AS b, '0x' || hex(x.label) || ' 0x' || hex(y.label) || ' ' || coalesce(score, 'X') AS line FROM l x CROSS JOIN l y LEFT JOIN m ON m.a = x.label AND m.b = y.label",
         "translit_roman": sql(f"SELECT doc_id, md5({replaced('seq', IAST_TO_SLP1)}) AS slp1_md5 FROM texts", "texts"),
         "split_glyphs": sql(f"SELECT doc_id, len({glyphs('seq', all_glyphs(IAST), ' *')}) AS glyphs, md5(array_to_string({glyphs('seq', all_glyphs(IAST), ' *')}, '|')) AS glyphs_md5 FROM texts", "texts"),
-        "split_aksaras": sql(f"SELECT doc_id, CAST(len(cuts) AS INTEGER) AS aksaras, md5(coalesce(list_aggregate(list_transform(cuts, lambda c, i: array_to_string(list_slice(g, 1 + CAST(coalesce(list_sum(list_transform(list_slice(cuts, 1, i - 1), lambda x: length(x))), 0) AS BIGINT), CAST(coalesce(list_sum(list_transform(list_slice(cuts, 1, i), lambda x: length(x))), 0) AS BIGINT)), '')), 'string_agg', '|'), '')) AS aksaras_md5 FROM ({aksaras('seq')} FROM (SELECT passage_id * 8 + wit_ord AS doc_id, seq FROM seqs))", "seqs"),
+        "split_aksaras": sql(f"SELECT doc_id, CAST(len(g) AS INTEGER) AS aksaras, md5(array_to_string(g, '|')) AS aksaras_md5 FROM (SELECT passage_id * 8 + wit_ord AS doc_id, regexp_extract_all(seq, {AKSARA}) AS g FROM seqs)", "seqs"),
         "split_words": sql("SELECT doc_id, len(regexp_extract_all(seq, '[^ ]+ *| +')) AS words, md5(array_to_string(regexp_extract_all(seq, '[^ ]+ *| +'), '|')) AS words_md5 FROM texts", "texts"),
         "normalise_text": sql(f"SELECT doc_id, md5({normalised('seq')}) AS norm_md5 FROM texts", "texts"),
         "detect_script": "SELECT doc_id, CASE WHEN regexp_matches(t, '[\\x{0b80}-\\x{0bff}]') THEN 'tamil' WHEN regexp_matches(t, '[\\x{0900}-\\x{097f}]') THEN 'devanagari' ELSE 'iast' END AS script FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'a', 'अ') WHEN doc_id % 3 = 1 THEN replace(text, 'e', 'எ') ELSE text END AS t FROM documents)",
@@ -148,11 +155,11 @@ def oracle_sql() -> dict[str, str]:
         "drop_insignificant": sql("SELECT c.passage_id, c.siglum, c.n, c.reading FROM cells c JOIN cols USING (passage_id, n) WHERE NOT insignificant", "cells", "cols"),
         "gaps_significant": sql("SELECT passage_id, siglum, n, reading FROM marked", "marked"),
         "export_normalised": sql("SELECT passage_id, siglum, n, coalesce(lemma, reading) AS reading FROM norm", "norm"),
-        "subst_score": sql("SELECT doc_id, a, b, CAST(CASE WHEN a = b THEN 1 WHEN s IS NOT NULL THEN s ELSE -1 END AS DOUBLE) AS score FROM (SELECT passage_id * 8 + wit_ord AS doc_id, substr(seq, 1, 1) AS a, substr(seq, 2, 1) AS b FROM seqs) LEFT JOIN (SELECT x.c AS a, y.c AS b, -1.25 AS s FROM (VALUES ('a'), ('e'), ('i'), ('o'), ('u')) x(c), (VALUES ('t'), ('h'), ('n')) y(c)) USING (a, b)", "seqs"),
+        "subst_score": sql("SELECT doc_id, a, b, times, CAST(CASE WHEN a = b THEN 1 WHEN a IN ('a', 'e', 'i', 'o', 'u') AND b IN ('t', 'h', 'n') THEN -1.25 ELSE -1 END AS DOUBLE) AS score FROM (SELECT doc_id, substr(seq, i, 1) AS a, substr(seq, i + 1, 1) AS b, count(*) AS times FROM (SELECT passage_id * 8 + wit_ord AS doc_id, seq, unnest(range(1, length(seq))) AS i FROM seqs) GROUP BY 1, 2, 3)", "seqs"),
         "concat_alignments": sql("""SELECT g.work_id, g.siglum, g.wit_ord, CAST(g.n AS INTEGER) AS n, coalesce(h.reading, '') AS reading FROM
             (SELECT work_id, siglum, wit_ord, unnest(range(CAST(total AS BIGINT))) AS n FROM (SELECT work_id, siglum, CAST(row_number() OVER (PARTITION BY work_id ORDER BY f, w, siglum) - 1 AS INTEGER) AS wit_ord FROM (SELECT work_id, siglum, min(file_ord) AS f, arg_min(wit_ord, file_ord) AS w FROM work GROUP BY 1, 2)) JOIN (SELECT work_id, sum(c) AS total FROM (SELECT work_id, file_ord, max(n) + 1 AS c FROM work GROUP BY 1, 2) GROUP BY 1) USING (work_id)) g
             LEFT JOIN (SELECT w.work_id, w.siglum, w.n + o.offs AS n, w.reading FROM work w JOIN (SELECT work_id, file_ord, coalesce(sum(c) OVER (PARTITION BY work_id ORDER BY file_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs FROM (SELECT work_id, file_ord, max(n) + 1 AS c FROM work GROUP BY 1, 2)) o USING (work_id, file_ord)) h ON h.work_id = g.work_id AND h.siglum = g.siglum AND h.n = g.n""", "work"),
-        "expand_acpc": sql("SELECT passage_id, coalesce(child, siglum) AS siglum, wit_ord, n, reading FROM cells LEFT JOIN (VALUES ('W1', 'W1ac'), ('W1', 'W1pc'), ('W5', 'W5ac'), ('W5', 'W5pc')) x(parent, child) ON parent = siglum", "cells"),
+        "expand_acpc": sql("SELECT passage_id, s AS siglum, CAST(dense_rank() OVER (PARTITION BY passage_id ORDER BY wit_ord, s) - 1 AS INTEGER) AS wit_ord, n, reading FROM (SELECT passage_id, coalesce(child, siglum) AS s, wit_ord, n, reading FROM cells LEFT JOIN (VALUES ('W1', 'W1ac'), ('W1', 'W1pc'), ('W5', 'W5ac'), ('W5', 'W5pc')) x(parent, child) ON parent = siglum)", "cells"),
         "missing_witnesses": sql("SELECT f.work_id, f.file_ord, s.siglum, s.first < f.file_ord AS known_before FROM (SELECT DISTINCT work_id, file_ord FROM work) f JOIN (SELECT work_id, siglum, min(file_ord) AS first FROM work GROUP BY 1, 2) s USING (work_id) WHERE (f.work_id, f.file_ord, s.siglum) NOT IN (SELECT work_id, file_ord, siglum FROM work)", "work"),
         "witnesses_in_tree": sql("SELECT passage_id, siglum, n, reading FROM cells WHERE wit_ord < 12", "cells"),
         "base_collation": sql("SELECT passage_id, n, base, base_reading, siglum, variant, agrees FROM coll", "coll"),
@@ -170,9 +177,10 @@ def oracle_sql() -> dict[str, str]:
         "nexus_states": sql("SELECT passage_id, siglum, n, symbol FROM states", "states"),
         "nexus_labels": sql("SELECT passage_id, n, labels FROM labels", "labels"),
         "nexus_rows": sql("SELECT passage_id, siglum, wit_ord, states FROM rows_", "rows_"),
-        "nexus_write": sql("""SELECT b.passage_id, '#NEXUS' || chr(10) || 'BEGIN TAXA;' || chr(10) || 'DIMENSIONS NTAX=' || ntax || ';' || chr(10) || 'TAXLABELS' || chr(10) || taxa || ';' || chr(10) || 'END;' || chr(10) || 'BEGIN CHARACTERS;' || chr(10) || 'DIMENSIONS NCHAR=' || nchar || ';' || chr(10) || 'CHARSTATELABELS' || chr(10) || coalesce(lab, '') || ';' || chr(10) || 'MATRIX' || chr(10) || matrix || chr(10) || ';' || chr(10) || 'END;' AS value
-            FROM (SELECT passage_id, count(*) AS ntax, max(length(states)) AS nchar, string_agg(siglum || ' ' || states, chr(10) ORDER BY wit_ord) AS matrix, string_agg(siglum, chr(10) ORDER BY wit_ord) AS taxa FROM (SELECT passage_id, siglum, wit_ord, string_agg(symbol, '' ORDER BY n) AS states FROM states GROUP BY 1, 2, 3) GROUP BY 1) b
-            LEFT JOIN (SELECT passage_id, string_agg(CAST(n + 1 AS VARCHAR) || ' / ' || labels, ', ' ORDER BY n) AS lab FROM labels GROUP BY 1) USING (passage_id)""", "states", "labels"),
+        "nexus_write": sql("""SELECT b.passage_id, '#NEXUS' || chr(10) || chr(10) || 'BEGIN TAXA;' || chr(10) || '  DIMENSIONS NTAX=' || ntax || ';' || chr(10) || '  TAXLABELS ' || taxa || ';' || chr(10) || 'END;' || chr(10) || chr(10) || 'BEGIN CHARACTERS;' || chr(10) || '  DIMENSIONS NCHAR=' || nchar || ';' || chr(10)
+                || '  FORMAT DATATYPE=STANDARD RESPECTCASE GAP=- MISSING=? SYMBOLS="0 1 2 3 4 5 6 7 8 9 A B C D E F G H K L M N P Q R S T U V W X Y Z a b c d e f g h k l m n p q r s t u v w x y z";' || chr(10) || '  CHARSTATELABELS' || chr(10) || lab || chr(10) || ';' || chr(10) || 'MATRIX' || chr(10) || matrix || chr(10) || ';' || chr(10) || 'END;' || chr(10) AS value
+            FROM (SELECT passage_id, count(*) AS ntax, max(length(states)) AS nchar, string_agg(chr(39) || siglum || chr(39) || ' ' || states, chr(10) ORDER BY wit_ord) AS matrix, string_agg(chr(39) || siglum || chr(39), ' ' ORDER BY wit_ord) AS taxa FROM (SELECT passage_id, siglum, wit_ord, string_agg(symbol, '' ORDER BY n) AS states FROM states GROUP BY 1, 2, 3) GROUP BY 1) b
+            LEFT JOIN (SELECT passage_id, string_agg(CAST(n + 1 AS VARCHAR) || ' / ' || labels, ',' || chr(10) ORDER BY n) AS lab FROM labels GROUP BY 1) USING (passage_id)""", "states", "labels"),
         "renumber_columns": sql("SELECT passage_id, siglum, wit_ord, CAST(dense_rank() OVER (PARTITION BY passage_id ORDER BY n) - 1 AS INTEGER) AS n, reading FROM cells WHERE (passage_id + n) % 4 <> 0", "cells"),
         "group_by_whitespace": sql("""SELECT passage_id, n, CASE WHEN g IS NOT NULL THEN g WHEN count(*) FILTER (WHERE g IS NULL) OVER (PARTITION BY passage_id, run) >= 2 THEN min(n) FILTER (WHERE g IS NULL) OVER (PARTITION BY passage_id, run) END AS group_id FROM
             (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY passage_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM (SELECT c.passage_id, c.n, CASE WHEN c.n = 4 AND c.passage_id % 2 = 0 THEN 4 END AS g, coalesce(r >= 0.5, false) OR lead(c.n) OVER (PARTITION BY c.passage_id ORDER BY c.n) IS NULL OR (c.n = 4 AND c.passage_id % 2 = 0) AS ends FROM cols c LEFT JOIN (SELECT passage_id, n, avg(CASE WHEN suffix(reading, ' ') THEN 1.0 ELSE 0.0 END) AS r FROM spaced WHERE reading <> '' GROUP BY 1, 2) USING (passage_id, n)))""", "cols", "spaced"),
@@ -192,6 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "set_flags": sql("SELECT passage_id, n, CASE WHEN (passage_id + n) % 4 = 0 THEN true ELSE insignificant END AS insignificant, \"binary\" FROM cols", "cols"),
         "apply_cell_edits": sql("SELECT passage_id, siglum, n, CASE WHEN e THEN 'ZZ' ELSE reading END AS reading, CASE WHEN NOT e THEN lemma END AS lemma, e AND siglum = 'W3' AS emended FROM (SELECT *, (passage_id + wit_ord + n) % 97 = 0 AS e FROM norm)", "norm"),
         "add_row": sql("SELECT passage_id, siglum, wit_ord, n, reading FROM cells UNION ALL SELECT passage_id, 'new', max(max(wit_ord)) OVER (PARTITION BY passage_id) + 1, n, '' FROM cells GROUP BY passage_id, n", "cells"),
+        "delete_rows": sql("SELECT passage_id, siglum, CAST(dense_rank() OVER (PARTITION BY passage_id ORDER BY wit_ord) - 1 AS INTEGER) AS wit_ord, n, reading FROM cells WHERE (passage_id + wit_ord) % 5 <> 0", "cells"),
         "delete_empty_rows": sql("SELECT passage_id, siglum, n, reading FROM (SELECT *, bool_or(reading <> '') OVER (PARTITION BY passage_id, siglum) AS held FROM holed) WHERE held", "holed"),
         "variant_texts": sql("SELECT passage_id, w AS siglum, trim(regexp_replace(string_agg(CASE WHEN list_contains(wits, w) THEN text ELSE '' END, '' ORDER BY seg_no), '\\s+', ' ', 'g')) AS text FROM segs, (VALUES ('A'), ('B'), ('C')) x(w) GROUP BY 1, 2", "segs"),
         "passage_select": sql("SELECT passage_id, seg_no, kind, text FROM segs WHERE passage_id IN (SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 2)", "segs"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalise, translit
 from ..operators import align, apparatus, coding, columns, edits, stats, tree, witnesses
 from ..sources import editions, readers, writers
+from ..storage import stored
 from . import derived
 from .oracle import PLAIN_RULES
 
@@ -20,6 +21,10 @@ def marked(spark: SparkSession, d: str) -> DataFrame:
     return columns.gaps_significant(derived.cells(spark, d))
 
 
+def coded(spark: SparkSession, d: str) -> DataFrame:
+    return coding.coded_readings(marked(spark, d))
+
+
 def picked(spark: SparkSession, d: str) -> DataFrame:
     return derived.columns(spark, d).where((F.col("passage_id") + F.col("n")) % 4 == 0).select("passage_id", "n")
 
@@ -86,7 +91,7 @@ def passage_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tei_matrix_write(spark: SparkSession, d: str) -> DataFrame:
-    return writers.tei_matrix(derived.cells_norm(spark, d))
+    return writers.tei_matrix(derived.cells_norm(spark, d), slp1=True)
 
 
 def csv_matrix_write(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +105,7 @@ def nexus_write(spark: SparkSession, d: str) -> DataFrame:
 def apparatus_write(spark: SparkSession, d: str) -> DataFrame:
     cells = derived.cells_spaced(spark, d)
     base = apparatus.base_witness(cells)
-    return writers.apparatus_tei(cells, base, apparatus.apparatus(apparatus.base_collation(cells, base)))
+    return writers.apparatus_tei(cells, base, apparatus.entries(apparatus.base_collation(cells, base)))
 
 
 def fasta_write(spark: SparkSession, d: str) -> DataFrame:
@@ -143,12 +148,12 @@ def normalise_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalise_tokens(spark: SparkSession, d: str) -> DataFrame:
-    done = normalise.normalise_tokens(derived.witness_text(spark, d))
+    done = normalise.normalise_tokens(derived.witness_seq(spark, d))
     return done.select("passage_id", "siglum", F.size("toks").alias("tokens"), F.array_join(F.transform("toks", lambda t: t["norm"]), "").alias("norm"), F.array_join(F.transform("toks", lambda t: t["surface"]), "").alias("surface"))
 
 
 def renormalise_cells(spark: SparkSession, d: str) -> DataFrame:
-    words = derived.witness_text(spark, d).select("passage_id", "siglum", "wit_ord", F.posexplode(translit.split_words(F.col("seq"))).alias("n", "reading"))
+    words = derived.witness_seq(spark, d).select("passage_id", "siglum", "wit_ord", F.posexplode(translit.split_words(F.col("seq"))).alias("n", "reading"))
     return normalise.renormalise_cells(words)
 
 
@@ -214,9 +219,13 @@ def export_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subst_score(spark: SparkSession, d: str) -> DataFrame:
-    pairs = derived.witness_seq(spark, d).select((F.col("passage_id") * 8 + F.col("wit_ord")).alias("doc_id"), F.substring("seq", 1, 1).alias("a"), F.substring("seq", 2, 1).alias("b"))
+    """Scores of all neighbouring letters of each text, each kind of pair scored once a text."""
+    seqs = derived.witness_seq(spark, d).select((F.col("passage_id") * 8 + F.col("wit_ord")).alias("doc_id"), F.col("seq"))
+    letters = seqs.select("doc_id", F.regexp_extract_all("seq", F.lit("(?s)."), F.lit(0)).alias("l"))
+    pairs = letters.where("size(l) > 1").select("doc_id", F.explode(F.arrays_zip(F.slice("l", F.lit(1), F.size("l") - 1).alias("a"), F.slice("l", F.lit(2), F.size("l") - 1).alias("b"))).alias("p"))
+    kinds = pairs.groupBy("doc_id", "p.a", "p.b").agg(F.count("*").alias("times"))
     matrix = spark.createDataFrame([(a, b, -1.25) for a in "aeiou" for b in "thn"], "a string, b string, score double")
-    return align.subst_score(pairs, matrix)
+    return align.subst_score(kinds, matrix)
 
 
 def glyph_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -224,11 +233,10 @@ def glyph_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_pair_score(spark: SparkSession, d: str) -> DataFrame:
-    """Each witness's first word against that of the witness before it in the passage."""
-    from pyspark.sql import Window
-
-    first = derived.witness_seq(spark, d).withColumn("a", F.element_at(F.split(F.trim("seq"), " "), 1))
-    pairs = first.withColumn("b", F.lag("a").over(Window.partitionBy("passage_id").orderBy("wit_ord"))).where("b IS NOT NULL")
+    """Each word of a witness against the word at the same place of the witness before it in the passage; each kind of pair once."""
+    words = derived.witness_seq(spark, d).select("passage_id", "wit_ord", F.posexplode(F.filter(F.split("seq", " "), lambda w: w != "")).alias("place", "a"))
+    above = words.select("passage_id", (F.col("wit_ord") + 1).alias("wit_ord"), "place", F.col("a").alias("b"))
+    pairs = words.join(above, ["passage_id", "wit_ord", "place"]).select("a", "b").distinct()
     split = lambda c: translit.split_glyphs(F.col(c))
     return align.token_pair_score(pairs.select("a", "b", split("a").alias("a_glyphs"), split("b").alias("b_glyphs")))
 
@@ -247,7 +255,7 @@ def center_witness(spark: SparkSession, d: str) -> DataFrame:
 
 def star_merge(spark: SparkSession, d: str) -> DataFrame:
     tokens = glyph_tokens(spark, d)
-    pairs = align.pairwise_align(tokens)
+    pairs = stored(align.pairwise_align(tokens), "pairs")
     return align.star_merge(tokens, pairs, align.center_witness(pairs)).select("passage_id", "siglum", "n", "reading")
 
 
@@ -328,16 +336,16 @@ def matrix_dims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nexus_states(spark: SparkSession, d: str) -> DataFrame:
-    return coding.nexus_states(marked(spark, d)).select("passage_id", "siglum", "n", "symbol")
+    return coding.nexus_states(coded(spark, d)).select("passage_id", "siglum", "n", "symbol")
 
 
 def nexus_labels(spark: SparkSession, d: str) -> DataFrame:
-    return coding.nexus_labels(marked(spark, d))
+    return coding.file_labels(coded(spark, d))
 
 
 def nexus_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of ten passages end to end, so that runs of eight can occur."""
-    states = coding.nexus_states(marked(spark, d))
+    states = coding.nexus_states(coded(spark, d))
     return coding.nexus_rows(states.withColumn("n", ((F.col("passage_id") % 10) * 7 + F.col("n")).cast("int")).withColumn("passage_id", F.floor(F.col("passage_id") / 10)))
 
 
@@ -415,7 +423,7 @@ def reconstruct_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variant_spread(spark: SparkSession, d: str) -> DataFrame:
-    paths = tree.tree_paths(*derived.tree(spark)).drop("tree_id")
+    paths = stored(tree.tree_paths(*derived.tree(spark)).drop("tree_id"), "paths")
     return tree.variant_spread(derived.cells(spark, d), paths)
 
 
@@ -450,6 +458,12 @@ def apply_cell_edits(spark: SparkSession, d: str) -> DataFrame:
     return edits.apply_cell_edits(derived.cells_norm(spark, d), derived.cell_edits(spark, d), made).select("passage_id", "siglum", "n", "reading", "lemma", "emended")
 
 
+def delete_rows(spark: SparkSession, d: str) -> DataFrame:
+    cells = derived.cells(spark, d)
+    named = cells.where((F.col("passage_id") + F.col("wit_ord")) % 5 == 0).select("passage_id", "siglum").distinct()
+    return edits.delete_rows(cells, named).select("passage_id", "siglum", "wit_ord", "n", "reading")
+
+
 def add_row(spark: SparkSession, d: str) -> DataFrame:
     return edits.add_row(derived.cells(spark, d), "new").select("passage_id", "siglum", "wit_ord", "n", "reading")
 
@@ -467,6 +481,6 @@ def queries() -> dict[str, Query]:
         column_stats, empty_columns, empty_rows, variant_groups, merge_columns, merge_groups, binarise, flag_state, dissolving_groups, matrix_dims,
         nexus_states, nexus_labels, nexus_rows, renumber_columns, group_by_whitespace, group_position, nearest_nonempty, column_bounds, move_row,
         tree_reroot, tree_levels, tree_paths, tree_diameter, fitch_up, fitch_down, reconstruct_node, format_states, reconstruct_all, variant_spread,
-        insert_columns, delete_columns, delete_empty_columns, set_groups, set_flags, apply_cell_edits, add_row, delete_empty_rows,
+        insert_columns, delete_columns, delete_empty_columns, set_groups, set_flags, apply_cell_edits, add_row, delete_rows, delete_empty_rows,
     )
     return {f.__name__: f for f in named} | {"apparatus": apparatus_entries}

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import root_of
+
 # Elements left out with their content. Others lose their tags only.
 IGNORED = frozenset("abbr cb corr del ex gap label lb locus metamark milestone note num pb ptr rdg space surplus anchor caesura".split())
 BLOCKS = frozenset(("p", "lg", "l"))
@@ -75,7 +77,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root, rows = ET.fromstring(text), []
+            root, rows = root_of(text), []
+            if root is None:
+                continue
             siglum = next((e.text for e in root.iter() if _local(e) == "idno" and e.get("type") == "siglum"), None)
             listed = [e.get(XML_ID) for e in root.iter() if _local(e) == "witness" and e.get(XML_ID)]
             for block in (e for e in root.iter() if _local(e) in BLOCKS and e.get(XML_ID)):

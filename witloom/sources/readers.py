@@ -22,6 +22,35 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(name.alias("path"), "value")
 
 
+def root_of(text: str | None) -> ET.Element | None:
+    """The root element; none of a missing or malformed file, which then has no rows (see :func:`rejected`)."""
+    try:
+        return ET.fromstring(text) if text else None
+    except ET.ParseError:
+        return None
+
+
+def elements(text: str | None, name: str) -> list[ET.Element]:
+    root = root_of(text)
+    return [] if root is None else [e for e in root.iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == name]
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    """path, error: the files that XML readers leave out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    ET.fromstring(text or "")
+                except ET.ParseError as error:
+                    rows.append((path, str(error)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["path", "error"])
+
+    return files.select("path", "value").mapInArrow(run, "path string, error string")
+
+
 def parse_fasta(files: DataFrame) -> DataFrame:
     """passage_id, siglum, wit_ord, seq: the header is the rest of a ``>`` line, trimmed; line ends in sequences go."""
     records = files.select(F.col("path").alias("passage_id"), F.posexplode(F.slice(F.split("value", ">"), 2, 2**31 - 1)).alias("wit_ord", "record"))
@@ -35,8 +64,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_alignment_csv(files: DataFrame) -> DataFrame:
     """Cells of alignment CSVs: siglum, then one field a column. Quoted fields are kept as they are, others trimmed."""
-    lines = files.select(F.col("path").alias("passage_id"), F.posexplode(F.split("value", r"\r?\n")).alias("wit_ord", "line")).where("trim(line) <> ''")
-    raw = F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)'), F.lit(1))
+    # Line ends outside quotes become record separators; those inside belong to their field.
+    parts = F.regexp_extract_all("value", F.lit(r'"[^"]*"|[^"\r\n]+|\r?\n|"'), F.lit(0))
+    joined = F.array_join(F.transform(parts, lambda x: F.when(x.isin("\n", "\r\n"), "\x1e").otherwise(x)), "")
+    lines = files.select(F.col("path").alias("passage_id"), F.posexplode(F.split(joined, "\x1e")).alias("wit_ord", "line")).where("trim(line) <> ''")
+    raw = F.regexp_extract_all("line", F.lit(r'(?:^|,)((?:"[^"]*")+|[^,"]*)'), F.lit(1))
     clean = F.transform(raw, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(f)))
     fields = lines.select("passage_id", "wit_ord", "line", clean.alias("f"))
     # A line that ends in a comma has no field behind it.
@@ -52,11 +84,11 @@ def read_alignment_csv(spark: SparkSession, path: str) -> DataFrame:
 def _tei_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["passage_id", "siglum", "wit_ord", "n", "reading", "lemma", "emended", "group_id", "insignificant", "binary"]
     types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_()]
-    local = lambda e: e.tag.rpartition("}")[2]
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows = []
-            for order, tei in enumerate(e for e in ET.fromstring(text).iter() if local(e) == "TEI"):
+            for order, tei in enumerate(elements(text, "TEI")):
                 groups = {id(w): g for g, cl in enumerate(e for e in tei.iter() if local(e) == "cl") for w in cl.iter()}
                 for w in tei.iter():
                     if local(w) == "w":
@@ -78,11 +110,11 @@ def read_tei_matrix(spark: SparkSession, path: str) -> DataFrame:
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["tree_id", "kind", "id", "label", "otu", "is_root", "source", "target", "length", "edge_ord"]
     types = [pa.string()] * 5 + [pa.bool_(), pa.string(), pa.string(), pa.float64(), pa.int32()]
-    local = lambda e: e.tag.rpartition("}")[2]
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
     for batch in batches:
         for text in batch.column(1).to_pylist():
             rows = []
-            for tree in (e for e in ET.fromstring(text).iter() if local(e) == "tree"):
+            for tree in elements(text, "tree"):
                 for k, e in enumerate(tree):
                     if local(e) == "node":
                         rows.append((tree.get("id"), "node", e.get("id"), e.get("label"), e.get("otu"), e.get("root") == "true", None, None, None, None))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.coding import nexus_labels, nexus_rows, nexus_states
+from ..functions.translit import slp1_to_iast
+from ..operators.coding import SYMBOLS, coded_readings, file_labels, nexus_rows, nexus_states
 from ..operators.columns import ordered_join
 
 ROW = ["passage_id", "siglum", "wit_ord"]
@@ -19,18 +20,27 @@ def escaped(text: str | Column) -> Column:
     return text
 
 
-def by_witness(value: str) -> Column:
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("wit_ord", F.col(value).alias("v")))), lambda x: x["v"]), "\n")
+def by_witness(value: str, separator: str = "\n") -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("wit_ord", F.col(value).alias("v")))), lambda x: x["v"]), separator)
 
 
-def tei_matrix(cells: DataFrame) -> DataFrame:
-    """passage_id, value: a TEI corpus with one text a witness and one ``w`` a column; a lemma only where it differs."""
+TEI = "http://www.tei-c.org/ns/1.0"
+XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
+
+
+def tei_matrix(cells: DataFrame, slp1: bool = False) -> DataFrame:
+    """passage_id, value: a TEI corpus with one text a witness and one ``w`` a column; a lemma only where it differs.
+
+    ``slp1``: cells are in SLP1 and written in IAST.
+    """
+    if slp1:
+        cells = cells.withColumns({c: slp1_to_iast(F.col(c)) for c in ("reading", "lemma")})
     lemma = F.when(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("reading")), F.concat(F.lit(' lemma="'), escaped("lemma"), F.lit('"'))).otherwise("")
     word = F.concat(F.lit('<w n="'), F.col("n").cast("string"), F.lit('"'), lemma, F.lit(">"), escaped("reading"), F.lit("</w>"))
     rows = cells.groupBy(*ROW).agg(ordered_join(word).alias("ws"))
     rows = rows.withColumn("tei", F.concat(F.lit('<TEI n="'), escaped("siglum"), F.lit('"><text>'), "ws", F.lit("</text></TEI>")))
     whole = rows.groupBy("passage_id").agg(by_witness("tei").alias("teis"))
-    return whole.select("passage_id", F.concat(F.lit("<teiCorpus>\n"), "teis", F.lit("\n</teiCorpus>")).alias("value"))
+    return whole.select("passage_id", F.concat(F.lit(f'{XML_HEAD}<teiCorpus xmlns="{TEI}">\n'), "teis", F.lit("\n</teiCorpus>")).alias("value"))
 
 
 def alignment_csv(cells: DataFrame) -> DataFrame:
@@ -41,26 +51,41 @@ def alignment_csv(cells: DataFrame) -> DataFrame:
 
 
 def nexus(cells: DataFrame) -> DataFrame:
-    """passage_id, value: taxa, state labels and the character matrix."""
-    states = nexus_states(cells)
-    rows = nexus_rows(states).withColumn("line", F.concat("siglum", F.lit(" "), "states"))
-    body = rows.groupBy("passage_id").agg(F.count("*").alias("ntax"), F.max(F.length("states")).alias("nchar"), by_witness("line").alias("matrix"), by_witness("siglum").alias("taxa"))
+    """passage_id, value: taxa, the format of the characters, state labels and the matrix. Readings are coded first."""
+    cells = coded_readings(cells)
+    quoted = F.concat(F.lit("'"), F.replace("siglum", F.lit("'"), F.lit("''")), F.lit("'"))
+    rows = nexus_rows(nexus_states(cells)).withColumn("taxon", quoted).withColumn("line", F.concat("taxon", F.lit(" "), "states"))
+    body = rows.groupBy("passage_id").agg(F.count("*").alias("ntax"), F.max(F.length("states")).alias("nchar"), by_witness("line").alias("matrix"), by_witness("taxon", " ").alias("taxa"))
     label = F.concat((F.col("n") + 1).cast("string"), F.lit(" / "), "labels")
-    labels = nexus_labels(cells).groupBy("passage_id").agg(ordered_join(label, ", ").alias("labels"))
+    labels = file_labels(cells).groupBy("passage_id").agg(ordered_join(label, ",\n").alias("labels"))
+    symbols = " ".join("0" + SYMBOLS)
     value = F.concat(
-        F.lit("#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX="), F.col("ntax").cast("string"), F.lit(";\nTAXLABELS\n"), "taxa", F.lit(";\nEND;\nBEGIN CHARACTERS;\nDIMENSIONS NCHAR="), F.col("nchar").cast("string"),
-        F.lit(";\nCHARSTATELABELS\n"), F.coalesce("labels", F.lit("")), F.lit(";\nMATRIX\n"), "matrix", F.lit("\n;\nEND;"),
+        F.lit("#NEXUS\n\nBEGIN TAXA;\n  DIMENSIONS NTAX="), F.col("ntax").cast("string"), F.lit(";\n  TAXLABELS "), "taxa", F.lit(";\nEND;\n\nBEGIN CHARACTERS;\n  DIMENSIONS NCHAR="), F.col("nchar").cast("string"),
+        F.lit(f';\n  FORMAT DATATYPE=STANDARD RESPECTCASE GAP=- MISSING=? SYMBOLS="{symbols}";\n  CHARSTATELABELS\n'), "labels", F.lit("\n;\nMATRIX\n"), "matrix", F.lit("\n;\nEND;\n"),
     )
-    return body.join(labels, "passage_id", "left").select("passage_id", value.alias("value"))
+    return body.join(labels, "passage_id").select("passage_id", value.alias("value"))
 
 
 def apparatus_tei(cells: DataFrame, base: DataFrame, entries: DataFrame) -> DataFrame:
-    """passage_id, value: the base text with ``app`` where others differ, below a list of the witnesses."""
+    """passage_id, value: the base text as TEI with ``app`` where others differ, below a header that lists the witnesses.
+
+    ``entries`` as of :func:`witloom.operators.apparatus.entries`; sigla stand in ``wit`` with ``#``; the trailing space of a
+    lemma stands behind its entry.
+    """
+    pointers = lambda wits: F.array_join(F.transform(wits, lambda w: F.concat(F.lit("#"), escaped(w))), " ")
     own = cells.join(base, "passage_id").where("siglum = base").select("passage_id", "n", "reading").join(entries, ["passage_id", "n"], "left")
-    app = F.concat(F.lit("<app><lem wit=\""), escaped("positive"), F.lit("\">"), escaped("lemma"), F.lit("</lem><rdg>"), escaped("negative"), F.lit("</rdg></app>"), F.when(F.col("spaced"), " ").otherwise(""))
+    lem = F.concat(F.lit("<lem"), F.when(F.size("positive") > 0, F.concat(F.lit(' wit="'), pointers("positive"), F.lit('"'))).otherwise(""), F.lit(">"), escaped(F.rtrim("reading")), F.lit("</lem>"))
+    rdgs = F.array_join(F.transform("negative", lambda x: F.concat(F.lit('<rdg wit="'), pointers(x["sigla"]), F.lit('">'), escaped(x["variant"]), F.lit("</rdg>"))), "")
+    app = F.concat(F.lit("<app>"), lem, rdgs, F.lit("</app>"), F.when(F.endswith("reading", F.lit(" ")), " ").otherwise(""))
     text = own.groupBy("passage_id").agg(ordered_join(F.when(F.col("negative").isNotNull(), app).otherwise(escaped("reading"))).alias("body"))
-    wits = cells.select(*ROW).distinct().withColumn("w", F.concat(F.lit('<witness xml:id="'), escaped("siglum"), F.lit('"/>'))).groupBy("passage_id").agg(by_witness("w").alias("list"))
-    return text.join(wits, "passage_id").select("passage_id", F.concat(F.lit("<listWit>\n"), "list", F.lit("\n</listWit>\n<p>"), "body", F.lit("</p>")).alias("value"))
+    abbr = lambda c: F.concat(F.lit('<abbr type="siglum">'), escaped(c), F.lit("</abbr>"))
+    witness = F.concat(F.lit('<witness xml:id="'), escaped("siglum"), F.lit('">'), abbr("siglum"), F.lit("</witness>"))
+    wits = cells.select(*ROW).distinct().withColumn("w", witness).groupBy("passage_id").agg(by_witness("w").alias("list"))
+    value = F.concat(
+        F.lit(f'{XML_HEAD}<TEI xmlns="{TEI}" n="'), escaped("base"), F.lit('">\n<teiHeader><fileDesc><sourceDesc><msDesc><msIdentifier>'), abbr("base"), F.lit("</msIdentifier></msDesc>\n<listWit>\n"), "list",
+        F.lit("\n</listWit></sourceDesc></fileDesc></teiHeader>\n<text><body><p>"), "body", F.lit("</p></body></text></TEI>"),
+    )
+    return text.join(wits, "passage_id").join(base, "passage_id").select("passage_id", value.alias("value"))
 
 
 def fasta(witnesses: DataFrame) -> DataFrame:
