@@ -1,15 +1,12 @@
 """Rooted trees over witnesses, ancestral readings by Fitch parsimony, and the spread of variants.
 
-Trees are small and are read level by level; the cells are the large side. A column's readings are packed into one map
-per column (one shuffle), equal columns (site patterns) are solved once, and the tree is walked inside the row by
-nested array expressions: no join per tree level touches the cells.
+Trees are tables keyed by ``tree_id``; the cells are the large side. A column's readings are packed into one array (one
+shuffle), equal columns (site patterns) are solved once, and the tree is walked inside the row by folds over its
+nodes: no join per tree level touches the cells, and nothing of a tree goes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,74 +79,85 @@ def tree_diameter(paths: DataFrame) -> DataFrame:
 # --- Fitch ---
 
 
-def children_of(edges: list[tuple]) -> tuple[dict, object]:
-    """Children by node in edge order, and the root; ``edges``: (edge_ord, source, target) rows of one tree."""
-    children: dict = {}
-    for _, source, target in sorted(edges):
-        children.setdefault(source, []).append(target)
-    targets = {t for _, _, t in edges}
-    return children, next(s for s in children if s not in targets)
-
-
-def packed(cells: DataFrame, taxa: dict[str, object], normalised: bool = False) -> DataFrame:
-    """One row for each column with the readings of the taxa: an array in the taxa's order, null where one is missing."""
-    held = pick_reading(cells).withColumn("reading", F.col("picked")) if normalised else cells
-    wanted = held.where(F.col("siglum").isin(list(taxa)))
-    by = wanted.groupBy(*COLUMN).agg(F.map_from_entries(F.collect_list(F.struct("siglum", "reading"))).alias("held"))
-    return by.select(*COLUMN, F.array(*[F.try_element_at("held", F.lit(s)) for s in taxa]).alias("site"))
-
-
-def solve_site(site: list[str | None], children: dict, root, leaves: list) -> tuple[dict, dict]:
-    """State sets of the inner nodes after the up-pass and after the down-pass; sets keep the order of first appearance.
+def plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """tree_id, plan: the nodes of each tree, children before parents, as (node_id, label, children, parent).
 
-    ``site``: readings of ``leaves``, None where a witness is missing (no state, unlike an empty reading). Up: what all
-    children share, else all that they have. Down: a single state stays; else what it shares with its parent's final set,
-    else the set itself.
+    Children (in edge order) and parent are places in the plan; nodes stand by height, the longest way down to a leaf.
     """
-    up: dict = {leaf: [] if r is None else [r] for leaf, r in zip(leaves, site, strict=True)}
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += children.get(node, [])
-    for node in reversed(order):
-        if node in children:
-            sets = [up.get(c, []) for c in children[node]]
-            shared = [x for x in sets[0] if all(x in s for s in sets[1:])]
-            up[node] = shared or list(dict.fromkeys(x for s in sets for x in s))
-    down = {root: up[root]}
-    for node in order:
-        for child in children.get(node, []):
-            if child in children:
-                own = up[child]
-                down[child] = own if len(own) == 1 else [x for x in down[node] if x in own] or own
-    return {n: up[n] for n in children}, down
-
-
-def fitch_sites(sites: DataFrame, children: dict, root, leaves: list) -> DataFrame:
-    """Adds ``up`` and ``down``: maps from inner node to its state set after each pass, for distinct ``site`` arrays.
-
-    As column expressions these sets grow beyond any plan, for each is read several times; a site is one row, and a row holds
-    one reading a witness.
-    """
-    kind = pa.map_(pa.string(), pa.list_(pa.string()))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    e = edges.select("tree_id", "edge_ord", text("source"), text("target"), "length")
+    heights = closure(e).groupBy("tree_id", F.col("ancestor").alias("node_id")).agg(F.max("edges").alias("height"))
+    named = heights.join(nodes.select("tree_id", text("node_id"), "label"), ["tree_id", "node_id"], "left")
+    placed = stored(named.withColumn("place", F.row_number().over(Window.partitionBy("tree_id").orderBy("height", "node_id")) - 1), "places")
+    at = lambda c, k: placed.select("tree_id", F.col("node_id").alias(c), F.col("place").alias(k))
+    below = e.join(at("target", "child"), ["tree_id", "target"]).groupBy("tree_id", F.col("source").alias("node_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("edge_ord", "child"))), lambda x: x["child"]).alias("children"))
+    above = e.join(at("source", "parent"), ["tree_id", "source"]).select("tree_id", F.col("target").alias("node_id"), "parent")
+    whole = placed.join(below, ["tree_id", "node_id"], "left").join(above, ["tree_id", "node_id"], "left")
+    node = F.struct("place", "node_id", "label", F.coalesce("children", F.array().cast("array<int>")).alias("children"), "parent")
+    return whole.groupBy("tree_id").agg(F.sort_array(F.collect_list(node)).alias("plan"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            solved = [solve_site(s, children, root, leaves) for s in b.column(0).to_pylist()]
-            maps = [pa.array([[(str(n), v) for n, v in x[k].items()] for x in solved], kind) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *maps], ["site", "up", "down"])
 
-    return sites.select("site").mapInArrow(run, "site array<string>, up map<string,array<string>>, down map<string,array<string>>")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def fitch(cells: DataFrame, nodes: DataFrame, edges: DataFrame, normalised: bool = False) -> DataFrame:
-    """passage_id, n, up, down for every column; a tree has tens of nodes, so its edges are read by the driver."""
-    taxa = {r["label"]: r["node_id"] for r in nodes.where("label IS NOT NULL").orderBy("node_id").collect()}
-    children, root = children_of([(r["edge_ord"], r["source"], r["target"]) for r in edges.collect()])
-    sites = packed(cells, taxa, normalised)
-    solved = fitch_sites(sites.select("site").distinct(), children, root, list(taxa.values()))
-    return sites.join(solved, "site").select(*COLUMN, "up", "down")
+    """passage_id, n, tree_id, up, down, agreed for every column and tree.
+
+    ``up`` and ``down`` map the inner nodes to their state sets after each pass, in order of first appearance; ``agreed``
+    are the nodes whose children share what they have. Up: what all children share, else all that they have; a missing
+    witness has no state, unlike an empty reading. Down: a single state stays; else what it shares with its parent's final
+    set, else the set itself. If cells have a ``tree_id`` they are solved by that tree, else by every tree.
+
+    A column's readings are packed into one array (one shuffle), equal columns are solved once, and a tree is walked inside
+    the row: the up-pass folds its plan from leaves to root, the down-pass from root to leaves.
+    """
+    by = [c for c in ("tree_id",) if c in cells.columns]
+    held = pick_reading(cells).withColumn("reading", F.col("picked")) if normalised else cells
+    taxa = nodes.where("label IS NOT NULL").select(*by, F.col("label").alias("siglum")).distinct()
+    sites = held.join(taxa, [*by, "siglum"], "left_semi").groupBy(*by, *COLUMN).agg(F.sort_array(F.collect_list(F.struct("siglum", "reading"))).alias("site"))
+    plan = plans(nodes, edges)
+    kinds = sites.select(*by, "site").distinct()
+    kinds = kinds.join(plan, by) if by else kinds.crossJoin(plan)
+    none = F.array().cast("array<string>")
+    state = lambda states, agreed: F.struct(states.alias("states"), agreed.alias("agreed"))
+
+    def leaf(readings: Column, node: Column) -> Column:
+        return _let(F.try_element_at(readings, node["label"]), lambda r: state(F.when(r.isNull(), none).otherwise(F.array(r)), F.lit(False)))
+
+    def inner(sets: Column) -> Column:
+        shared = F.aggregate(F.slice(sets, F.lit(2), F.size(sets)), F.array_distinct(F.element_at(sets, 1)), F.array_intersect)
+        return _let(shared, lambda s: F.when(F.size(s) > 0, state(s, F.lit(True))).otherwise(state(F.array_distinct(F.flatten(sets)), F.lit(False))))
+
+    def up(readings: Column) -> Column:
+        def step(done: Column, node: Column) -> Column:
+            own = F.when(F.size(node["children"]) == 0, leaf(readings, node)).otherwise(_let(F.transform(node["children"], lambda c: F.get(done, c)["states"]), inner))
+            return F.concat(done, F.array(own))
+
+        return F.aggregate("plan", F.array().cast("array<struct<states:array<string>,agreed:boolean>>"), step)
+
+    def down(step_done: Column, node: Column) -> Column:
+        own = F.get(F.col("ups"), node["place"])["states"]
+        # Finished nodes stand in reverse order: the parent of place p at size - 1 - p.
+        above = F.get(step_done, F.size("plan") - 1 - node["parent"])
+        shared = F.array_intersect(above, own)
+        final = F.when(node["parent"].isNull() | (F.size(own) == 1), own).otherwise(_let(shared, lambda s: F.when(F.size(s) > 0, s).otherwise(own)))
+        return F.concat(step_done, F.array(final))
+
+    # Written, as a fold's result read inside another's steps would else be worked out at every step.
+    kinds = stored(kinds.withColumn("ups", _let(F.map_from_entries("site"), up)), "up-pass")
+    kinds = stored(kinds.withColumn("downs", F.reverse(F.aggregate(F.reverse("plan"), F.array().cast("array<array<string>>"), down))), "down-pass")
+    walked = F.filter("plan", lambda node: F.size(node["children"]) > 0)
+    names = F.transform(walked, lambda node: node["node_id"])
+    solved = kinds.select(
+        "tree_id",
+        "site",
+        F.map_from_arrays(names, F.transform(walked, lambda node: F.get(F.col("ups"), node["place"])["states"])).alias("up"),
+        F.map_from_arrays(names, F.transform(walked, lambda node: F.get("downs", node["place"]))).alias("down"),
+        F.transform(F.filter(walked, lambda node: F.get(F.col("ups"), node["place"])["agreed"]), lambda node: node["node_id"]).alias("agreed"),
+    )
+    return sites.join(solved, [*by, "site"]).select(*COLUMN, "tree_id", "up", "down", "agreed")
 
 
 def format_states(states: Column, blanks: bool = False) -> Column:
@@ -160,18 +168,18 @@ def format_states(states: Column, blanks: bool = False) -> Column:
 
 
 def node_states(solved: DataFrame, which: str) -> DataFrame:
-    """The state sets of one pass as rows: passage_id, n, node_id, states (sorted for display)."""
-    return solved.select(*COLUMN, F.explode(which).alias("node_id", "states"))
+    """The state sets of one pass as rows: passage_id, n, tree_id, node_id, states."""
+    return solved.select(*COLUMN, "tree_id", F.explode(which).alias("node_id", "states"))
 
 
 def reconstruct_all(solved: DataFrame) -> DataFrame:
-    return node_states(solved, "down").select(*COLUMN, "node_id", format_states(F.col("states"), blanks=True).alias("reading"))
+    return node_states(solved, "down").select(*COLUMN, "tree_id", "node_id", format_states(F.col("states"), blanks=True).alias("reading"))
 
 
 def reconstruct_node(cells: DataFrame, solved: DataFrame, node, siglum: str) -> DataFrame:
-    """The text of one node as a witness row. A single state that the up-pass found by agreement is kept untrimmed."""
+    """The text of one node of a tree as a witness row. A single state that the up-pass found by agreement is kept untrimmed."""
     up, down = F.element_at("up", F.lit(str(node))), F.element_at("down", F.lit(str(node)))
-    reading = F.when(F.size(up) == 1, F.element_at(up, 1)).otherwise(format_states(down))
+    reading = F.when((F.size(up) == 1) & F.array_contains("agreed", str(node)), F.element_at(up, 1)).otherwise(format_states(down))
     last = cells.groupBy("passage_id").agg((F.max("wit_ord") + 1).alias("wit_ord"))
     row = solved.select(*COLUMN, reading.alias("reading")).join(last, "passage_id")
     return row.select("passage_id", F.lit(siglum).alias("siglum"), "wit_ord", "n", "reading", F.lit("reconstructed").alias("row_type"))
@@ -183,10 +191,10 @@ def variant_spread(cells: DataFrame, paths: DataFrame) -> DataFrame:
     Witness sets repeat over columns: each distinct set is measured once, and pairs are taken inside these sets only.
     """
     known = paths.select(F.col("a").alias("siglum")).union(paths.select("b")).distinct()
-    sets = cells.join(F.broadcast(known), "siglum", "left_semi").groupBy(*COLUMN, "reading").agg(F.sort_array(F.collect_list("siglum")).alias("wits"))
-    kinds = sets.select("wits").distinct().withColumn("set_id", F.xxhash64("wits")).withColumn("key", F.concat_ws(" ", "wits"))
+    sets = cells.join(known, "siglum", "left_semi").groupBy(*COLUMN, "reading").agg(F.sort_array(F.collect_list("siglum")).alias("wits"))
+    kinds = sets.select("wits").distinct().withColumn("key", F.concat_ws(" ", "wits"))
     members = kinds.select("key", F.explode("wits").alias("w"))
-    pairs = members.select("key", F.col("w").alias("a")).join(members.select("key", F.col("w").alias("b")), "key").where("a < b").join(F.broadcast(paths), ["a", "b"])
+    pairs = members.select("key", F.col("w").alias("a")).join(members.select("key", F.col("w").alias("b")), "key").where("a < b").join(paths, ["a", "b"])
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("edges").desc(), F.col("length").desc()))).where("r = 1").select("key", F.col("edges").alias("spread"), F.col("length").alias("branch"))
     diameter = F.broadcast(paths.groupBy().agg(F.max("edges").alias("diameter")))
     out = sets.withColumn("key", F.concat_ws(" ", "wits")).join(best, "key", "left").crossJoin(diameter)

@@ -419,7 +419,7 @@ def reconstruct_node(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconstruct_all(spark: SparkSession, d: str) -> DataFrame:
-    return tree.reconstruct_all(solved(spark, d))
+    return tree.reconstruct_all(solved(spark, d)).drop("tree_id")
 
 
 def variant_spread(spark: SparkSession, d: str) -> DataFrame:
