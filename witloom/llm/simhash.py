@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, slices, spread_join, stored, text_of
 from .components import components
+from .similar import bands, joined_groups
 
 BITS = 64
 QUARTERS = 4
@@ -37,19 +38,26 @@ STEP = 8
 HELD_ROWS = 200_000
 
 
-def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], size: int = 3, seed: int = 42) -> list[int]:
+    """XXH64 of each run of ``size`` words, repeats included; of all words if they are fewer."""
     n = len(words)
-    if not n:
-        return 0
     if n <= size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = np.concatenate([[0], ends[: n - size]])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed)] if n else []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate([[0], ends[: n - size]])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text.lower().split(), size, seed))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half the hashes; zero for none."""
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     counts = bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
@@ -250,17 +258,45 @@ def near_duplicates(docs: DataFrame, budget: int = 3, size: int = 3, seed: int =
     return out
 
 
-def representatives(docs: DataFrame, budget: int = 3, size: int = 3, seed: int = 42, leaf: int = LEAF) -> DataFrame:
+def _sketches(size: int, seed: int, words: int):
+    """Key, fingerprint, hash of all words and bands of shingles of ``words`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            split = [t.lower().split() for t in texts]
+            fps = np.array([majority(shingle_hashes(w, size, seed)) for w in split], np.uint64).view(np.int64)
+            whole = np.array([xxhash.xxh64_intdigest(b" ".join(w), seed + 1) for w in split], np.uint64).view(np.int64)
+            keys = [bands(np.array(shingle_hashes(w, words, seed), np.uint64)) for w in split]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(whole), pa.array(keys, pa.list_(pa.int64()))], ["row", "fp", "t", "bands"])
+
+    return run
+
+
+def _shingles(text: bytes, size: int) -> list[int]:
+    return shingle_hashes(text.lower().split(), size)
+
+
+def representatives(docs: DataFrame, budget: int = 3, size: int = 3, seed: int = 42, leaf: int = LEAF, words: int = 5, least: float | None = None) -> DataFrame:
     """k_, b_: the key of one row of each group of near copies among ``docs`` (doc_id, text, k_, b_: the row's key).
 
-    It is a row of the least doc_id, null being the largest. A group is told by its least fingerprint, so groups that share
-    ids, or have none, stay apart.
+    Fingerprints within ``budget`` bits link. With ``least``, texts that share that part of their shingles of ``words`` words
+    link as well, which 64 bits can't tell (see ``similar``). The row kept is one of the least doc_id, null being the largest.
+    A group is told by its least fingerprint, so groups that share ids, or have none, stay apart.
     """
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), "k_", "b_")
-    text = docs.select(row.alias("doc_id"), text_of().cast("binary").alias("text"))
-    prints = text.mapInArrow(_fingerprints(size, seed), "doc_id struct<none:boolean,doc_id:long,k_:long,b_:long>, fp long")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("row")), "distinct")
+    key = "struct<none:boolean,doc_id:long,k_:long,b_:long>"
+    if least is None:
+        text = docs.select(row.alias("doc_id"), text_of().cast("binary").alias("text"))
+        prints = text.mapInArrow(_fingerprints(size, seed), f"doc_id {key}, fp long")
+        distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("row")), "distinct")
+    else:
+        text = docs.select(row.alias("row"), text_of().cast("binary").alias("text"))
+        prints = text.mapInArrow(_sketches(size, seed, words), f"row {key}, fp long, t long, bands array<long>")
+        texts = stored(prints.groupBy("fp", "t").agg(F.min("row").alias("row"), F.any_value("bands").alias("bands")), "texts")
+        distinct = stored(texts.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
     edges = stored(links(distinct.select("fp"), budget, leaf), "edges")
     found = components(edges, distinct.select(F.col("fp").alias("node"), F.col("fp").alias("weight")))
-    groups = distinct.join(found, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("row").alias("row"))
-    return groups.select("row.k_", "row.b_")
+    groups = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "row", F.coalesce("component", "fp").alias("group"))
+    if least is not None:
+        groups = distinct.join(joined_groups(texts, stored(groups.select("fp", "group"), "groups"), docs, _shingles, words, least), "fp")
+    return groups.groupBy("group").agg(F.min("row").alias("row")).select("row.k_", "row.b_")
