@@ -45,8 +45,9 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 
 def tokens(text: Column, glyphs: list[str], tail: str = "") -> Column:
-    """Glyphs of a text, longest first; other characters stand alone."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?:{alternatives(glyphs)}|.){tail}"), F.lit(0))
+    """Glyphs of a text, longest first; other characters stand alone, as single ones do without being named."""
+    long = [g for g in glyphs if len(g) > 1]
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?:{alternatives(long)}|.){tail}" if long else f"(?s).{tail}"), F.lit(0))
 
 
 #: Private characters that stand for glyphs during a replacement: nothing else reads or writes them.

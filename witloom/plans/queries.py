@@ -242,7 +242,8 @@ def token_pair_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_align(spark: SparkSession, d: str) -> DataFrame:
-    return align.pairwise_align(glyph_tokens(spark, d)).select("passage_id", "a", "b", "score", "trace")
+    # Several joins read the tokens: they are made once.
+    return align.pairwise_align(stored(glyph_tokens(spark, d), "tokens")).select("passage_id", "a", "b", "score", "trace")
 
 
 def center_witness(spark: SparkSession, d: str) -> DataFrame:
@@ -254,7 +255,7 @@ def center_witness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def star_merge(spark: SparkSession, d: str) -> DataFrame:
-    tokens = glyph_tokens(spark, d)
+    tokens = stored(glyph_tokens(spark, d), "tokens")
     pairs = stored(align.pairwise_align(tokens), "pairs")
     return align.star_merge(tokens, pairs, align.center_witness(pairs)).select("passage_id", "siglum", "n", "reading")
 
