@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, license_scan, mixing, packing, ppm, qda, quality_rules, simhash, suffix_dedup, topk
+from . import byte_bpe, fill_middle, hard_negatives, html_extract, license_scan, mixing, packing, ppm, qda, quality_rules, simhash, suffix_dedup, topk
 from .common import table
 
 
@@ -57,6 +57,20 @@ def op10_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, label=hard_negatives.noisy_label())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_html_extract, op2_exact_topk, op3_license_scan, op4_quality_rules, op5_simhash, op6_suffix_dedup, op7_ppm_score, op8_packing, op9_mixing, op10_qda_quality, pipeline)
+    named = (op1_html_extract, op2_exact_topk, op3_license_scan, op4_quality_rules, op5_simhash, op6_suffix_dedup, op7_ppm_score, op8_packing, op9_mixing, op10_qda_quality, op11_byte_bpe, op12_fill_middle, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -78,4 +92,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": TOPK_SQL, "op4_quality_rules": quality_rules.oracle_sql()}
+    return {"op2_exact_topk": TOPK_SQL, "op4_quality_rules": quality_rules.oracle_sql(), "op12_fill_middle": fill_middle.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
