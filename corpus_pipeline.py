@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from witloom.llm import mixing, packing, qda, simhash, suffix_dedup
-from witloom.llm.common import WORD, stored, table
+from witloom.llm.common import WORD, spread_join, stored, table
 from witloom.llm.queries import tokenizer_path
 
 #: A word with the white space before it.
@@ -31,13 +31,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the least id, null ids last.
 
-    Rows are told apart by all their columns, so rows that share an id, or have none, but hold different texts all stay.
+    Near copies are texts whose shingles of five words are alike by 0.8 or more, and those whose fingerprints differ in three
+    bits at most; groups are what such links join. Rows are told apart by all their columns, so rows that share an id, or have
+    none, but hold different texts all stay. Of equal rows one stays; where many are equal they are dealt out before they meet.
     """
     keyed = docs.select(*COLUMNS, F.xxhash64(F.lit(1), "doc_id", "text").alias("k_"), F.xxhash64(F.lit(2), "n_chars", "source", "lang", "text", "doc_id").alias("b_"))
-    kept = keyed.join(stored(simhash.representatives(keyed), "kept"), ["k_", "b_"])
-    # Equal rows share a key: one of them stays.
-    order = Window.partitionBy("k_", "b_").orderBy("doc_id")
-    return kept.withColumn("row_", F.row_number().over(order)).where("row_ = 1").select(*COLUMNS)
+    kept = simhash.representatives(keyed, least=0.8)
+    equal = keyed.groupBy("k_", "b_").agg(F.count("*").alias("n"))
+    kept = stored(kept.join(equal, ["k_", "b_"]), "kept")
+    # The place of a row in its file deals equal rows out; each task then keeps one of them before they meet.
+    found = spread_join(keyed.withColumn("at_", F.monotonically_increasing_id()), kept, ["k_", "b_"], ["at_"])
+    return found.dropDuplicates(["k_", "b_"]).select(*COLUMNS)
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

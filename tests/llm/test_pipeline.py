@@ -6,11 +6,11 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 
-from witloom.llm import packing, qda, simhash
+from witloom.llm import packing, qda
 from witloom.llm.queries import tokenizer_path
 
 from .test_mix_pack import brute_targets
-from .test_simhash import brute_components
+from .test_similar import plain as near_groups
 from .test_suffix_dedup import brute_mask
 
 
@@ -50,9 +50,11 @@ def test_stages(spark, tmp_path):
     assert all("###" not in (r["text"] or "") for r in good)
     assert {r["doc_id"] for r in docs if r["text"] and "###" not in r["text"]} <= {r["doc_id"] for r in good}
     assert len(qda.STATISTICS) == 12
-    # 2: the least id of each group stays, once.
-    prints = [(r["doc_id"], simhash.fingerprint((r["text"] or "").encode())) for r in good]
-    assert sorted(r["doc_id"] for r in single) == sorted({c for c in brute_components(prints).values()})
+    # 2: the least id of each group stays, once: fingerprints within three bits, or 0.8 of the shingles of five words.
+    ordered = sorted(good, key=lambda r: r["doc_id"])
+    groups = near_groups([r["text"] or "" for r in ordered])
+    assert sorted(r["doc_id"] for r in single) == sorted(ordered[k]["doc_id"] for k in set(groups.values()))
+    assert 91 not in {r["doc_id"] for r in single}
     # 3: repeats of 200 bytes go.
     texts = [(r["text"] or "").encode() for r in single]
     want = {r["doc_id"]: bytes(b for b, gone in zip(t, m, strict=True) if not gone).decode("utf-8", "ignore") for r, t, m in zip(single, texts, brute_mask(texts, 200), strict=True)}
