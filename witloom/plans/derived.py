@@ -38,6 +38,20 @@ def witness_segments(spark: SparkSession, sf_dir: str, size: int = 120) -> DataF
     return cut.select(F.concat_ws(".", "passage_id", "k").alias("passage_id"), "wit_ord", "siglum", "seq")
 
 
+def witness_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a passage of three witnesses: the text; a copy with words left out and longer ones; and a copy with other
+    vowels, words put in and, in one document of four, an insertion of 300 characters."""
+    doc, words = F.col("doc_id"), F.filter(F.split("seq", " "), lambda w: w != "")
+    base = table(spark, sf_dir, "documents").select("doc_id", romanised().alias("seq")).withColumn("words", words)
+    shorter = F.transform("words", lambda x, i: F.when((doc + 7 * i) % 23 == 0, "").when((doc + i) % 31 == 0, F.concat(x, F.lit("a"))).otherwise(x))
+    other = F.transform("words", lambda x, i: F.when((3 * doc + i) % 19 == 0, F.translate(x, "aeo", "eoa")).when((doc + 5 * i) % 41 == 0, F.concat(x, F.lit(" et"))).otherwise(x))
+    put_in = F.when(doc % 4 == 0, F.array(F.reverse(F.substring("seq", 1, 300)))).otherwise(F.array().cast("array<string>"))
+    longer = F.concat(F.slice(other, 1, 20), put_in, F.slice(other, F.lit(21), F.greatest(F.size("words") - 20, F.lit(0))))
+    copies = F.array("words", F.filter(shorter, lambda w: w != ""), longer)
+    held = base.select(F.col("doc_id").alias("passage_id"), F.posexplode(copies).alias("wit_ord", "words"))
+    return held.select("passage_id", "wit_ord", F.concat(F.lit("W"), F.col("wit_ord").cast("string")).alias("siglum"), F.array_join("words", " ").alias("seq"))
+
+
 def words_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", romanised().alias("seq"))
 

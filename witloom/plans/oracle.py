@@ -13,6 +13,11 @@ STATES = "123456789ABCDEFGHKLMNPQRSTUVWXYZabcdefghklmnpqrstuvwxyz"
 VIEWS = {
     "seqs": f"""SELECT CAST(floor(doc_id / 8) AS BIGINT) AS passage_id, CAST(doc_id % 8 AS INTEGER) AS wit_ord, 'W' || CAST(doc_id % 8 AS VARCHAR) AS siglum,
         {ROMAN} AS seq FROM documents""",
+    "copies": f"""SELECT doc_id AS passage_id, unnest([0, 1, 2]) AS wit_ord, array_to_string(unnest([w, list_filter(list_transform(w, lambda x, i: CASE WHEN (doc_id + 7 * (i - 1)) % 23 = 0 THEN '' WHEN (doc_id + i - 1) % 31 = 0 THEN x || 'a' ELSE x END), lambda x: x <> ''),
+        list_concat(list_concat(o[1:20], CASE WHEN doc_id % 4 = 0 THEN [reverse(substr(seq, 1, 300))] ELSE [] END), o[21:])]), ' ') AS seq
+        FROM (SELECT *, list_transform(w, lambda x, i: CASE WHEN (3 * doc_id + i - 1) % 19 = 0 THEN translate(x, 'aeo', 'eoa') WHEN (doc_id + 5 * (i - 1)) % 41 = 0 THEN x || ' et' ELSE x END) AS o
+              FROM (SELECT doc_id, seq, list_filter(string_split(seq, ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, {ROMAN} AS seq FROM documents)))""",
+    "letters": "SELECT passage_id, wit_ord, x, count(*) AS times FROM (SELECT passage_id, wit_ord, unnest(string_split(replace(seq, ' ', ''), '')) AS x FROM copies WHERE wit_ord < 2) WHERE x <> '' GROUP BY 1, 2, 3",
     "texts": f"SELECT doc_id, {ROMAN} AS seq FROM documents",
     "raw_cells": """SELECT CAST(floor(l_orderkey / 16) AS BIGINT) AS passage_id, CAST(l_orderkey % 16 AS INTEGER) AS wit_ord, CAST(l_linenumber - 1 AS INTEGER) AS n,
         min(l_returnflag || l_linestatus) AS reading FROM lineitem GROUP BY 1, 2, 3""",
@@ -53,6 +58,7 @@ VIEWS = {
 VIEWS["up"] = """SELECT i AS n, i // (1 << k) AS anc, k AS e, CAST(coalesce(list_sum(list_transform(range(k), lambda j: 0.01 * (((i // (1 << j)) * 7) % 13))), 0) AS DOUBLE) AS l
         FROM range(1, 32) t(i), range(0, 5) s(k) WHERE i // (1 << k) >= 1"""
 NEEDS = {
+    "letters": ["copies"],
     "cells": ["raw_cells"], "cols": ["cells"], "norm": ["cells"], "spaced": ["cells"], "holed": ["cells"], "marked": ["cells"], "picked": ["cols"], "base": ["cells"], "coll": ["spaced", "base"], "app": ["coll"], "rdgs": ["coll"],
     "coded": ["marked"], "numbered": ["coded"], "states": ["coded", "numbered"], "labels": ["numbered", "cells"], "long_states": ["states"], "islands": ["long_states"], "rows_": ["islands"], "work": ["cells"], "paths": ["up"],
 }
@@ -155,7 +161,11 @@ def oracle_sql() -> dict[str, str]:
         "drop_insignificant": sql("SELECT c.passage_id, c.siglum, c.n, c.reading FROM cells c JOIN cols USING (passage_id, n) WHERE NOT insignificant", "cells", "cols"),
         "gaps_significant": sql("SELECT passage_id, siglum, n, reading FROM marked", "marked"),
         "export_normalised": sql("SELECT passage_id, siglum, n, coalesce(lemma, reading) AS reading FROM norm", "norm"),
-        "subst_score": sql("SELECT doc_id, a, b, times, CAST(CASE WHEN a = b THEN 1 WHEN a IN ('a', 'e', 'i', 'o', 'u') AND b IN ('t', 'h', 'n') THEN -1.25 ELSE -1 END AS DOUBLE) AS score FROM (SELECT doc_id, substr(seq, i, 1) AS a, substr(seq, i + 1, 1) AS b, count(*) AS times FROM (SELECT passage_id * 8 + wit_ord AS doc_id, seq, unnest(range(1, length(seq))) AS i FROM seqs) GROUP BY 1, 2, 3)", "seqs"),
+        "subst_score": sql("SELECT a.passage_id, a.x AS a, b.x AS b, a.times * b.times AS cells, CAST(CASE WHEN a.x = b.x THEN 1 WHEN a.x IN ('a', 'e', 'i', 'o', 'u') AND b.x IN ('t', 'h', 'n') THEN -1.25 ELSE -1 END AS DOUBLE) AS score FROM letters a JOIN letters b ON a.passage_id = b.passage_id AND a.wit_ord = 0 AND b.wit_ord = 1", "letters"),
+        "star_merge_rows": sql(f"SELECT passage_id, 'W' || CAST(wit_ord AS VARCHAR) AS siglum, md5({replaced("replace(seq, ' ', '')", IAST_TO_SLP1)}) AS text_md5, true AS sound FROM copies WHERE passage_id IN (SELECT passage_id FROM copies WHERE seq <> '')", "copies"),
+        "collate_words": sql(f"SELECT passage_id, 'W' || CAST(wit_ord AS VARCHAR) AS siglum, md5({replaced('seq', IAST_TO_SLP1)}) AS text_md5, true AS sound FROM copies WHERE passage_id IN (SELECT passage_id FROM copies WHERE seq <> '')", "copies"),
+        "collate_aksaras": sql(f"SELECT passage_id, 'W' || CAST(wit_ord AS VARCHAR) AS siglum, md5({replaced('seq', IAST_TO_SLP1)}) AS text_md5, true AS sound FROM copies WHERE passage_id IN (SELECT passage_id FROM copies WHERE seq <> '')", "copies"),
+        "pairwise_rescored": sql("SELECT a.passage_id, 'W' || CAST(a.wit_ord AS VARCHAR) AS a, 'W' || CAST(b.wit_ord AS VARCHAR) AS b, true AS sound FROM copies a JOIN copies b ON a.passage_id = b.passage_id AND a.wit_ord < b.wit_ord", "copies"),
         "concat_alignments": sql("""SELECT g.work_id, g.siglum, g.wit_ord, CAST(g.n AS INTEGER) AS n, coalesce(h.reading, '') AS reading FROM
             (SELECT work_id, siglum, wit_ord, unnest(range(CAST(total AS BIGINT))) AS n FROM (SELECT work_id, siglum, CAST(row_number() OVER (PARTITION BY work_id ORDER BY f, w, siglum) - 1 AS INTEGER) AS wit_ord FROM (SELECT work_id, siglum, min(file_ord) AS f, arg_min(wit_ord, file_ord) AS w FROM work GROUP BY 1, 2)) JOIN (SELECT work_id, sum(c) AS total FROM (SELECT work_id, file_ord, max(n) + 1 AS c FROM work GROUP BY 1, 2) GROUP BY 1) USING (work_id)) g
             LEFT JOIN (SELECT w.work_id, w.siglum, w.n + o.offs AS n, w.reading FROM work w JOIN (SELECT work_id, file_ord, coalesce(sum(c) OVER (PARTITION BY work_id ORDER BY file_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs FROM (SELECT work_id, file_ord, max(n) + 1 AS c FROM work GROUP BY 1, 2)) o USING (work_id, file_ord)) h ON h.work_id = g.work_id AND h.siglum = g.siglum AND h.n = g.n""", "work"),

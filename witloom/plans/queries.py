@@ -219,31 +219,92 @@ def export_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subst_score(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of all neighbouring letters of each text, each kind of pair scored once a text."""
-    seqs = derived.witness_seq(spark, d).select((F.col("passage_id") * 8 + F.col("wit_ord")).alias("doc_id"), F.col("seq"))
-    letters = seqs.select("doc_id", F.regexp_extract_all("seq", F.lit("(?s)."), F.lit(0)).alias("l"))
-    pairs = letters.where("size(l) > 1").select("doc_id", F.explode(F.arrays_zip(F.slice("l", F.lit(1), F.size("l") - 1).alias("a"), F.slice("l", F.lit(2), F.size("l") - 1).alias("b"))).alias("p"))
-    kinds = pairs.groupBy("doc_id", "p.a", "p.b").agg(F.count("*").alias("times"))
+    """Scores of all letter pairs that aligning the first two copies of a passage meets, with the number of cells that meet each."""
+    letters = derived.witness_copies(spark, d).where("wit_ord < 2").select("passage_id", "wit_ord", F.explode(F.regexp_extract_all("seq", F.lit("[^ ]"), F.lit(0))).alias("x"))
+    counts = letters.groupBy("passage_id", "wit_ord", "x").agg(F.count("*").alias("times"))
+    side = lambda w, s: counts.where(F.col("wit_ord") == w).select("passage_id", F.col("x").alias(s), F.col("times").alias(f"{s}_times"))
+    kinds = side(0, "a").join(side(1, "b"), "passage_id").select("passage_id", "a", "b", (F.col("a_times") * F.col("b_times")).alias("cells"))
     matrix = spark.createDataFrame([(a, b, -1.25) for a in "aeiou" for b in "thn"], "a string, b string, score double")
     return align.subst_score(kinds, matrix)
 
 
 def glyph_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return derived.witness_segments(spark, d).select("passage_id", "siglum", "wit_ord", translit.split_glyphs(translit.iast_to_slp1(F.replace("seq", F.lit(" "), F.lit("")))).alias("toks"))
+    seq = F.replace("seq", F.lit(" "), F.lit(""))
+    return derived.witness_copies(spark, d).select("passage_id", "siglum", "wit_ord", translit.split_glyphs(translit.iast_to_slp1(seq)).alias("toks"))
+
+
+def word_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return derived.witness_copies(spark, d).select("passage_id", "siglum", "wit_ord", translit.split_words(translit.iast_to_slp1(F.col("seq"))).alias("toks"))
+
+
+def aksara_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return derived.witness_copies(spark, d).select("passage_id", "siglum", "wit_ord", translit.split_aksaras(translit.iast_to_slp1(F.col("seq")), translit.SLP1).alias("toks"))
+
+
+def aligned(spark: SparkSession, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens and the alignments of their glyphs, each made once."""
+    tokens = stored(tokens, "tokens")
+    return tokens, stored(align.align_passages(tokens), "pairs")
+
+
+def collated_units(tokens: DataFrame, run: int, apart: int) -> DataFrame:
+    """The matrix of words or syllables; those that differ score as their glyphs align."""
+    tokens = stored(tokens, "tokens")
+    pairs = stored(align.align_passages(tokens, align.ScoreModel(recursive=True), run=run, every=1, apart=apart), "pairs")
+    return align.star_merge(tokens, pairs, align.center_witness(pairs))
+
+
+def collate_words(spark: SparkSession, d: str) -> DataFrame:
+    """Whole passages by words: row contents and width of every witness."""
+    return row_digests(collated_units(word_tokens(spark, d), 4, 12))
+
+
+def collate_aksaras(spark: SparkSession, d: str) -> DataFrame:
+    return row_digests(collated_units(aksara_tokens(spark, d), 6, 40))
+
+
+def row_digests(matrix: DataFrame) -> DataFrame:
+    """Each witness's text as its row holds it, and whether the row is dense and as wide as the passage's other rows."""
+    cells = F.sort_array(F.collect_list(F.struct("n", "pos", "reading")))
+    rows = matrix.groupBy("passage_id", "siglum").agg(cells.alias("cells"))
+    rows = rows.select("passage_id", "siglum", F.size("cells").alias("width"), F.array_join(F.transform("cells", lambda c: c["reading"]), "").alias("t"), F.filter(F.transform("cells", lambda c: c["pos"]), lambda p: p.isNotNull()).alias("pos"), F.forall(F.transform("cells", lambda c, i: c["n"] == i), lambda x: x).alias("dense"))
+    ordered = F.coalesce(F.forall(F.transform("pos", lambda p, i: p == i), lambda x: x), F.lit(True))
+    wide = rows.groupBy("passage_id").agg(F.max("width").alias("widest"))
+    return rows.join(wide, "passage_id").select("passage_id", "siglum", F.md5("t").alias("text_md5"), (F.col("dense") & ordered & (F.col("width") == F.col("widest"))).alias("sound"))
 
 
 def token_pair_score(spark: SparkSession, d: str) -> DataFrame:
-    """Each word of a witness against the word at the same place of the witness before it in the passage; each kind of pair once."""
-    words = derived.witness_seq(spark, d).select("passage_id", "wit_ord", F.posexplode(F.filter(F.split("seq", " "), lambda w: w != "")).alias("place", "a"))
-    above = words.select("passage_id", (F.col("wit_ord") + 1).alias("wit_ord"), "place", F.col("a").alias("b"))
-    pairs = words.join(above, ["passage_id", "wit_ord", "place"]).select("a", "b").distinct()
+    """Words of the first witness and the words of the others that collation sets against them; each kind of pair once."""
+    matrix = stored(collated_units(word_tokens(spark, d), 4, 12).select("passage_id", "n", "wit_ord", F.rtrim("reading").alias("reading")).where("reading <> ''"), "matrix")
+    first = matrix.where("wit_ord = 0").select("passage_id", "n", F.col("reading").alias("a"))
+    pairs = first.join(matrix.where("wit_ord > 0").select("passage_id", "n", F.col("reading").alias("b")), ["passage_id", "n"]).select("a", "b").distinct()
     split = lambda c: translit.split_glyphs(F.col(c))
     return align.token_pair_score(pairs.select("a", "b", split("a").alias("a_glyphs"), split("b").alias("b_glyphs")))
 
 
 def pairwise_align(spark: SparkSession, d: str) -> DataFrame:
-    # Several joins read the tokens: they are made once.
-    return align.pairwise_align(stored(glyph_tokens(spark, d), "tokens")).select("passage_id", "a", "b", "score", "trace")
+    return aligned(spark, glyph_tokens(spark, d))[1].select("passage_id", "a", "b", "score", "trace")
+
+
+def pairwise_rescored(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each pair's score is that of its trace, worked out again from the tokens, and the trace uses them all."""
+    tokens, pairs = aligned(spark, glyph_tokens(spark, d))
+    side = lambda s: tokens.select("passage_id", F.col("siglum").alias(s), F.col("toks").alias(f"{s}_toks"))
+    both = pairs.join(side("a"), ["passage_id", "a"]).join(side("b"), ["passage_id", "b"])
+    # Matched tokens by their places; gaps by their runs.
+    ops = F.split("trace", "")
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("score"))
+    step = lambda s, op: F.struct(
+        (s["i"] + (op != "I").cast("int")).alias("i"),
+        (s["j"] + (op != "D").cast("int")).alias("j"),
+        (s["score"] + F.when(op != "M", 0.0).when(F.get("a_toks", s["i"]) == F.get("b_toks", s["j"]), 1.0).otherwise(-1.0)).alias("score"),
+    )
+    walked = both.withColumn("w", F.aggregate(F.filter(ops, lambda x: x != ""), begin, step))
+    gaps = F.size(F.regexp_extract_all("trace", F.lit("D+|I+"), F.lit(0)))
+    steps = F.length(F.replace("trace", F.lit("M"), F.lit("")))
+    score = F.col("w.score") - 3.0 * gaps - 0.25 * (steps - gaps)
+    whole = (F.col("w.i") == F.size("a_toks")) & (F.col("w.j") == F.size("b_toks"))
+    return walked.select("passage_id", "a", "b", (whole & (F.abs(score - F.col("score")) < 1e-6)).alias("sound"))
 
 
 def center_witness(spark: SparkSession, d: str) -> DataFrame:
@@ -254,10 +315,18 @@ def center_witness(spark: SparkSession, d: str) -> DataFrame:
     return align.center_witness(pairs)
 
 
+def glyph_matrix(spark: SparkSession, d: str) -> DataFrame:
+    tokens, pairs = aligned(spark, glyph_tokens(spark, d))
+    return align.star_merge(tokens, pairs, align.center_witness(pairs))
+
+
 def star_merge(spark: SparkSession, d: str) -> DataFrame:
-    tokens = stored(glyph_tokens(spark, d), "tokens")
-    pairs = stored(align.pairwise_align(tokens), "pairs")
-    return align.star_merge(tokens, pairs, align.center_witness(pairs)).select("passage_id", "siglum", "n", "reading")
+    return glyph_matrix(spark, d).select("passage_id", "siglum", "n", "reading")
+
+
+def star_merge_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Row contents of the matrix of glyphs: every witness's tokens in order."""
+    return row_digests(glyph_matrix(spark, d))
 
 
 def align_zip(spark: SparkSession, d: str) -> DataFrame:
@@ -478,7 +547,7 @@ def queries() -> dict[str, Query]:
         fasta_parse, tei_matrix_read, csv_matrix_read, tree_read, subst_matrix, passage_extract, tei_matrix_write, csv_matrix_write, nexus_write, apparatus_write, fasta_write, subst_hex,
         translit_roman, split_glyphs, split_aksaras, split_words, normalise_text, normalise_full, normalise_tokens, renormalise_cells, detect_script, translit_indic_to_roman, translit_roman_to_indic, nexus_reading,
         tag_policy_text, variant_texts, passage_select, pick_reading, span_reading, drop_insignificant, gaps_significant, export_normalised, export_pipeline,
-        subst_score, token_pair_score, pairwise_align, center_witness, star_merge, align_zip, concat_alignments, expand_acpc, missing_witnesses, witnesses_in_tree, base_collation,
+        subst_score, token_pair_score, pairwise_align, pairwise_rescored, center_witness, star_merge, star_merge_rows, collate_words, collate_aksaras, align_zip, concat_alignments, expand_acpc, missing_witnesses, witnesses_in_tree, base_collation,
         column_stats, empty_columns, empty_rows, variant_groups, merge_columns, merge_groups, binarise, flag_state, dissolving_groups, matrix_dims,
         nexus_states, nexus_labels, nexus_rows, renumber_columns, group_by_whitespace, group_position, nearest_nonempty, column_bounds, move_row,
         tree_reroot, tree_levels, tree_paths, tree_diameter, fitch_up, fitch_down, reconstruct_node, format_states, reconstruct_all, variant_spread,
