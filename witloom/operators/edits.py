@@ -42,9 +42,27 @@ def delete_empty_columns(cells: DataFrame, columns: DataFrame) -> tuple[DataFram
 
 
 def set_groups(columns: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``ranges`` (passage_id, low, high, group_id): columns in a range get its group id; a null id ungroups."""
-    hit = columns.alias("c").join(ranges.alias("r"), (F.col("c.passage_id") == F.col("r.passage_id")) & F.col("c.n").between(F.col("r.low"), F.col("r.high")), "left")
-    return hit.select("c.passage_id", "c.n", F.when(F.col("r.low").isNotNull(), F.col("r.group_id")).otherwise(F.col("c.group_id")).alias("group_id"), "c.insignificant", "c.binary")
+    """``ranges`` (passage_id, low, high, group_id, and optionally ``ord``): columns in a range get its group id; a null id ungroups.
+
+    A sweep: ends of ranges stand among a passage's columns as events, so every column meets its passage's events in one window.
+    Where ranges overlap the last edit holds: that of the highest ``ord``, else the one that begins last, then ends first, then has the
+    highest id. Further columns of ``columns`` stay.
+    """
+    rank = [F.col("ord")] if "ord" in ranges.columns else [F.col("low"), -F.col("high"), F.coalesce(F.col("group_id"), F.lit(-1))]
+    edits = ranges.where("low <= high").select("passage_id", "low", "high", F.struct(*[r.alias(f"r{k}") for k, r in enumerate(rank)], F.col("group_id").alias("id")).alias("edit"))
+    event = lambda n, opens: edits.select("passage_id", n.cast("long").alias("n"), F.struct("edit", F.lit(opens).alias("opens")).alias("event"))
+    events = event(F.col("low"), True).unionByName(event(F.col("high") + 1, False))
+    held = columns.select("*", F.struct(*columns.columns).alias("whole_")).select("passage_id", F.col("n").cast("long").alias("n"), "whole_")
+    swept = held.unionByName(events, allowMissingColumns=True)
+    # Events come before the column of the same place; the ranges open there are those begun less those ended.
+    upto = Window.partitionBy("passage_id").orderBy("n", F.col("whole_").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    begun, ended = (F.sort_array(F.collect_list(F.when(F.col("event.opens") == opens, F.col("event.edit"))).over(upto)) for opens in (True, False))
+    swept = swept.withColumn("begun_", begun).withColumn("ended_", ended).where("whole_ IS NOT NULL")
+    # Equal edits open as often as they begin more than they end.
+    times = lambda edits, x: F.size(F.filter(edits, lambda y: y == x))
+    open_ = F.filter("begun_", lambda x: times(F.col("begun_"), x) > times(F.col("ended_"), x))
+    last = F.try_element_at(open_, F.lit(-1))
+    return swept.select(*[(F.when(last.isNotNull(), last["id"]).otherwise(F.col("whole_.group_id")) if c == "group_id" else F.col(f"whole_.{c}")).alias(c) for c in columns.columns])
 
 
 def set_flags(columns: DataFrame, edits: DataFrame) -> DataFrame:
@@ -54,10 +72,18 @@ def set_flags(columns: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_cell_edits(cells: DataFrame, edits: DataFrame, reconstructed: DataFrame) -> DataFrame:
-    """``edits`` (passage_id, siglum, n, new_reading): a changed cell loses its lemma; on a reconstructed row it is emended."""
-    joined = cells.join(edits, ["passage_id", "siglum", "n"], "left").join(reconstructed.select("siglum").distinct().withColumn("made", F.lit(True)), "siglum", "left")
-    changed = F.col("new_reading").isNotNull()
-    return joined.select("passage_id", "siglum", "wit_ord", "n", F.coalesce("new_reading", "reading").alias("reading"), F.when(~changed, F.col("lemma")).alias("lemma"), (changed & F.col("made").isNotNull()).alias("emended"))
+    """``edits`` (passage_id, siglum, n, new_reading): a changed cell loses its lemma; on a reconstructed row it is emended.
+
+    Cells that no edit touches keep all they have, ``emended`` included, and a changed cell on another row keeps it too; further columns
+    stay. ``emended`` is false where it was missing.
+    """
+    new = edits.select("passage_id", "siglum", "n", F.col("new_reading").alias("new_"))
+    made = reconstructed.select("siglum").distinct().withColumn("made_", F.lit(True))
+    joined = cells.join(new, ["passage_id", "siglum", "n"], "left").join(made, "siglum", "left")
+    changed = F.col("new_").isNotNull()
+    was = F.coalesce(F.col("emended"), F.lit(False)) if "emended" in cells.columns else F.lit(False)
+    fresh = {"reading": F.coalesce("new_", "reading"), "lemma": F.when(~changed, F.col("lemma")), "emended": was | (changed & F.col("made_").isNotNull())}
+    return joined.withColumns(fresh).select(*dict.fromkeys([*cells.columns, "emended"]))
 
 
 def add_row(cells: DataFrame, siglum: str) -> DataFrame:
