@@ -36,25 +36,45 @@ def tree_reroot(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return old.unionByName(first.select("tree_id", F.lit("fakeroot").alias("node_id"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("is_root"))), new_edges
 
 
+def second_parents(edges: DataFrame) -> DataFrame:
+    """tree_id of the trees in which a node has more than one parent (or an edge stands twice)."""
+    return edges.groupBy("tree_id", "target").agg(F.count("*").alias("parents")).where("parents > 1").select("tree_id").distinct()
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(tree_id, ancestor, node, edges, length): every node with itself and all its ancestors, by doubling of paths.
 
     After k rounds ``paths`` holds all paths of 1 to 2**k edges; a round joins its longest ones with all of them. Written each
-    round, so neither rows nor depth are limited.
+    round, so neither rows nor depth are limited. Trees with a second parent or a cycle have no rows (:func:`tree_faults` reports
+    them): the first are left out at once, the others in the round in which a node becomes its own ancestor.
     """
-    paths = stored(edges.select("tree_id", F.col("source").alias("ancestor"), F.col("target").alias("node"), F.lit(1).alias("edges"), F.col("length").cast("double").alias("length")), "paths")
-    nodes = paths.select("tree_id", "node").union(paths.select("tree_id", "ancestor")).distinct()
-    reach = 1
+    sound = edges.join(second_parents(edges), "tree_id", "left_anti")
+    paths = stored(sound.select("tree_id", F.col("source").alias("ancestor"), F.col("target").alias("node"), F.lit(1).alias("edges"), F.col("length").cast("double").alias("length")), "paths")
+    longer, reach = paths, 1
     while True:
+        own = F.col("ancestor") == F.col("node")
+        found, cyclic = longer.agg(F.count("*"), F.coalesce(F.max(own), F.lit(False))).first()
+        if cyclic:
+            bad = stored(longer.where(own).select("tree_id").distinct(), "cyclic")
+            paths, longer = (x.join(bad, "tree_id", "left_anti") for x in (paths, longer))
+        if not found:
+            break
+        paths = paths if reach == 1 else paths.unionByName(longer)
         upper = paths.where(F.col("edges") == reach).select("tree_id", "ancestor", F.col("node").alias("middle"), F.col("edges").alias("e"), F.col("length").alias("l"))
         longer = upper.join(paths.withColumnRenamed("ancestor", "middle"), ["tree_id", "middle"])
-        longer = stored(longer.select("tree_id", "ancestor", "node", (F.col("e") + F.col("edges")).alias("edges"), (F.col("l") + F.col("length")).alias("length")), "paths")
-        if not longer.limit(1).count():
-            break
-        paths, reach = paths.unionByName(longer), reach * 2
+        longer, reach = stored(longer.select("tree_id", "ancestor", "node", (F.col("e") + F.col("edges")).alias("edges"), (F.col("l") + F.col("length")).alias("length")), "paths"), reach * 2
+    nodes = paths.select("tree_id", "node").union(paths.select("tree_id", "ancestor")).distinct()
     return paths.unionByName(nodes.select("tree_id", F.col("node").alias("ancestor"), "node", F.lit(0).alias("edges"), F.lit(0.0).alias("length")))
 
 
+def tree_faults(edges: DataFrame) -> DataFrame:
+    """tree_id, fault (``second parent`` or ``cycle``) of the trees that the other operators leave out."""
+    twice = second_parents(edges)
+    walked = closure(edges).select("tree_id").distinct()
+    circling = edges.select("tree_id").distinct().join(twice, "tree_id", "left_anti").join(walked, "tree_id", "left_anti")
+    return twice.withColumn("fault", F.lit("second parent")).unionByName(circling.withColumn("fault", F.lit("cycle")))
+
+
 def tree_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node: taxa 0, others one above their highest child."""
     taxa = nodes.where("label IS NOT NULL").select("tree_id", F.col("node_id").alias("node"))
@@ -188,15 +208,19 @@ def reconstruct_node(cells: DataFrame, solved: DataFrame, node, siglum: str) ->
 def variant_spread(cells: DataFrame, paths: DataFrame) -> DataFrame:
     """For each reading of each column the longest path between two of its witnesses, and its share of the diameter.
 
-    Witness sets repeat over columns: each distinct set is measured once, and pairs are taken inside these sets only.
+    Witness sets repeat over columns: each distinct set is measured once, and pairs are taken inside these sets only. ``paths`` are those
+    of one tree; with a ``tree_id`` every tree gets rows of its own, measured by its own diameter.
     """
-    known = paths.select(F.col("a").alias("siglum")).union(paths.select("b")).distinct()
-    sets = cells.join(known, "siglum", "left_semi").groupBy(*COLUMN, "reading").agg(F.sort_array(F.collect_list("siglum")).alias("wits"))
-    kinds = sets.select("wits").distinct().withColumn("key", F.concat_ws(" ", "wits"))
-    members = kinds.select("key", F.explode("wits").alias("w"))
-    pairs = members.select("key", F.col("w").alias("a")).join(members.select("key", F.col("w").alias("b")), "key").where("a < b").join(paths, ["a", "b"])
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("edges").desc(), F.col("length").desc()))).where("r = 1").select("key", F.col("edges").alias("spread"), F.col("length").alias("branch"))
-    diameter = F.broadcast(paths.groupBy().agg(F.max("edges").alias("diameter")))
-    out = sets.withColumn("key", F.concat_ws(" ", "wits")).join(best, "key", "left").crossJoin(diameter)
+    by = [c for c in ("tree_id",) if c in paths.columns]
+    known = paths.select(*by, F.col("a").alias("siglum")).union(paths.select(*by, "b")).distinct()
+    sets = cells.join(known, "siglum").groupBy(*by, *COLUMN, "reading").agg(F.sort_array(F.collect_list("siglum")).alias("wits"))
+    kinds = sets.select(*by, "wits").distinct().withColumn("key", F.concat_ws(" ", "wits"))
+    members = kinds.select(*by, "key", F.explode("wits").alias("w"))
+    pairs = members.select(*by, "key", F.col("w").alias("a")).join(members.select(*by, "key", F.col("w").alias("b")), [*by, "key"]).where("a < b").join(paths, [*by, "a", "b"])
+    longest = F.max(F.struct("edges", "length")).alias("p")
+    best = pairs.groupBy(*by, "key").agg(longest).select(*by, "key", F.col("p.edges").alias("spread"), F.col("p.length").alias("branch"))
+    diameter = paths.groupBy(*by).agg(F.max("edges").alias("diameter"))
+    out = sets.withColumn("key", F.concat_ws(" ", "wits")).join(best, [*by, "key"], "left")
+    out = out.join(diameter, by) if by else out.crossJoin(F.broadcast(diameter))
     single = F.size("wits") == 1
-    return out.select(*COLUMN, "reading", F.size("wits").alias("witnesses"), F.when(single, 0).otherwise(F.col("spread")).alias("spread"), F.round(F.when(single, 0.0).otherwise(F.col("branch")), 6).alias("branch"), F.round(F.when(single, 1.0).otherwise(F.col("spread")) / F.col("diameter"), 6).alias("ratio"))
+    return out.select(*by, *COLUMN, "reading", F.size("wits").alias("witnesses"), F.when(single, 0).otherwise(F.col("spread")).alias("spread"), F.round(F.when(single, 0.0).otherwise(F.col("branch")), 6).alias("branch"), F.round(F.when(single, 1.0).otherwise(F.col("spread")) / F.col("diameter"), 6).alias("ratio"))
