@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal = keyed.groupBy("k_", "b_").agg(F.count("*").alias("n"))
     kept = stored(kept.join(equal, ["k_", "b_"]), "kept")
     # The place of a row in its file deals equal rows out; each task then keeps one of them before they meet.
-    found = spread_join(keyed.withColumn("at_", F.monotonically_increasing_id()), kept, ["k_", "b_"], ["at_"])
+    found = spread_join(keyed.withColumn("at_", F.monotonically_increasing_id()), kept, ["k_", "b_"], ["at_"], sized=True)
     return found.dropDuplicates(["k_", "b_"]).select(*COLUMNS)
 
 

@@ -50,16 +50,18 @@ HOT_KEYS = 10_000
 SALTS = 64
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], sized: bool = False) -> DataFrame:
     """Inner join with ``few`` (one row a key, with ``n``, the rows of ``many`` that have it); ``n`` goes.
 
     Rows of keys that hold more than one in HOT_KEYS of all rows are dealt over SALTS parts by a hash of ``by``: there are
     at most HOT_KEYS such keys, a bounded broadcast, and only their rows of ``few`` are copied.
+    ``sized``: to as many parts as their rows ask for, so that all copies together are 2 * HOT_KEYS rows at most.
     """
     total = few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.broadcast(few.where(F.col("n") * HOT_KEYS > total).select(*on, F.lit(True).alias("hot_")))
-    salt = F.when(F.col("hot_"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int")
-    salts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    parts = F.least(F.lit(SALTS), F.ceil(F.col("n") * HOT_KEYS / max(1, total))).cast("int") if sized else F.lit(SALTS)
+    hot = F.broadcast(few.where(F.col("n") * HOT_KEYS > total).select(*on, parts.alias("hot_")))
+    salt = F.when(F.col("hot_").isNotNull(), F.pmod(F.xxhash64(*by), F.col("hot_"))).otherwise(0).cast("int")
+    salts = F.when(F.col("hot_").isNotNull(), F.sequence(F.lit(0), F.col("hot_") - 1)).otherwise(F.array(F.lit(0)))
     left = many.join(hot, on, "left").withColumn("salt_", salt).drop("hot_")
     right = few.drop("n").join(hot, on, "left").withColumn("salt_", F.explode(salts)).drop("hot_")
     return left.join(right, [*on, "salt_"]).drop("salt_")

@@ -55,7 +55,7 @@ def _sets(hashes, size: int):
 def _open(members: DataFrame) -> DataFrame:
     """Members (bucket, fp, t, group) of the buckets that still hold more than one group."""
     ends = members.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low < high")
-    return stored(spread_join(members, stored(ends.select("bucket", "n"), "buckets"), ["bucket"], ["t"]), "members")
+    return stored(spread_join(members, stored(ends.select("bucket", "n"), "buckets"), ["bucket"], ["t"], sized=True), "members")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, hashes, size: int, least: float) -> DataFrame:
@@ -69,7 +69,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, hashes, size:
     for s, other in ("ab", "ba"):
         counted = side(s).groupBy("fp", "t").agg(F.count("*").alias("n")).join(sets, ["fp", "t"])
         counted = counted.select(F.col("fp").alias(f"{s}_fp"), F.col("t").alias(f"{s}_t"), F.col("shingles").alias(f"{s}_set"), "n")
-        both = spread_join(both, counted, [f"{s}_fp", f"{s}_t"], [f"{other}_t"])
+        both = spread_join(both, counted, [f"{s}_fp", f"{s}_t"], [f"{other}_t"], sized=True)
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return both.where(shared / (F.size("a_set") + F.size("b_set") - shared) >= least).select("a", "b").distinct()
 
@@ -88,7 +88,7 @@ def joined_groups(texts: DataFrame, groups: DataFrame, docs: DataFrame, hashes,
         part = F.pmod(F.xxhash64("fp", "t", F.lit(turn)), F.lit(leaders))
         led = members.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("fp", "t", "group")).alias("lead"), F.count("*").alias("n"))
         led = stored(led.groupBy("bucket").agg(F.collect_list("lead").alias("leads"), F.sum("n").alias("n")), "leaders")
-        met = spread_join(members, led, ["bucket"], ["t"]).select("fp", "t", "group", F.explode("leads").alias("lead")).where("group <> lead.group")
+        met = spread_join(members, led, ["bucket"], ["t"], sized=True).select("fp", "t", "group", F.explode("leads").alias("lead")).where("group <> lead.group")
         one, two = F.struct("group", "fp", "t"), F.struct("lead.group", "lead.fp", "lead.t")
         met = met.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
         pairs = stored(met.select(F.col("a.group").alias("a"), F.col("a.fp").alias("a_fp"), F.col("a.t").alias("a_t"), F.col("b.group").alias("b"), F.col("b.fp").alias("b_fp"), F.col("b.t").alias("b_t")), "pairs")
