@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.normalise import COLLAPSE_SPACES, RULES
 from ..functions.translit import HK_FROM, HK_TO, IAST, IAST_TO_SLP1, SLP1, all_glyphs, alternatives
 
-#: The letters and symbols that the queries use, stated again: nothing of what is checked is read from the code.
+#: The letters and symbols that the queries use, stated again. Rule and letter tables of normalisation and transliteration are those of the code.
 FROM, TO = "éèêüöäñçóáíßÉÈÊÜÖÄÑÇÓÁÍxqj", "āīūṛṝāñśṝāīṣāīūṛṝāñśṝāīṣṭñ"
 ROMAN = f"lower(regexp_replace(translate(text, '{FROM}', '{TO}'), '[^a-zA-Zñāīśūṛṝṣṭ]+', ' ', 'g'))"
 STATES = "123456789ABCDEFGHKLMNPQRSTUVWXYZabcdefghklmnpqrstuvwxyz"
