@@ -29,6 +29,10 @@ INDIC_OTHER = {"m̐": 0x01, "ṃ": 0x02, "ḥ": 0x03, "'": 0x3D} | {str(i): 0x66
 VIRAMA = 0x4D
 BLOCKS = {"devanagari": 0x900, "bengali": 0x980, "tamil": 0xB80, "telugu": 0xC00, "malayalam": 0xD00}
 DANDAS = {"|": "।", "||": "॥"}
+# Letters that Tamil script borrows from the Grantha block (offsets are the same), and its further signs.
+GRANTHA = 0x11300
+BORROWED = frozenset("kh g gh ch jh ṭh ḍ ḍh th d dh ph b bh ṛ ṝ l̥ l̥̄ m̐ ṃ ḥ '".split())
+TAMIL_OTHER = {"ẖ": "", "ḫ": "", "ḵ": "ஃ", "oṁ": "ௐ", "oḿ": "", "⁰": "௰", "⁰⁰": "௱", "⁰⁰⁰": "௲"}
 
 
 def all_glyphs(scheme: dict[str, list[str]]) -> list[str]:
@@ -138,7 +142,7 @@ def nexus_reading(reading: Column) -> Column:
 
 
 def _block(script: str, offsets: dict[str, int]) -> dict[str, str]:
-    return {roman: chr(BLOCKS[script] + o) for roman, o in offsets.items()}
+    return {roman: chr((GRANTHA if script == "tamil" and roman in BORROWED else BLOCKS[script]) + o) for roman, o in offsets.items()}
 
 
 def indic_to_roman(text: Column, script: str) -> Column:
@@ -181,16 +185,20 @@ JOINS = (
 CHILLU = {"ക": "ൿ", "ത": "ൽ", "ന": "ൻ", "മ": "ൔ", "ര": "ർ"}
 
 
-def roman_to_indic(text: Column, script: str) -> Column:
-    """Vowels behind a consonant become marks (``a`` none); a consonant with no vowel behind it gets a virama."""
-    text = F.lower(F.regexp_replace(text, "ṙ", "r‍" if script == "telugu" else "r"))
-    for pattern, by in JOINS:
-        text = F.regexp_replace(text, pattern, by)
-    if script == "malayalam":
-        text = F.translate(text, "ṁḿíúé", "ṃṃiue")
-    vowels, consonants = _block(script, INDIC_VOWELS), _block(script, INDIC_CONSONANTS)
-    letters = vowels | consonants | _block(script, INDIC_OTHER) | DANDAS
-    marks, virama = _block(script, INDIC_MARKS) | {"a": ""}, chr(BLOCKS[script] + VIRAMA)
+# Letters for consonants at the end of a word in manuscripts' Grantha; display fonts hold them in private places.
+GRANTHA_FINALS = {"സ": "\ue1d3", "ര": "\u0d7c", "യ": "\ue1cb", "ച": "\ue1b6", "ദ": "\ue1c2", "ശ": "\ue1d2"}
+# Vowel signs of Tamil that become those of the Grantha block behind a borrowed consonant.
+TAMIL_SIGNS = {
+    "\u0b82": "\U00011300", "\u0bbe": "\U0001133e", "\u0bbf": "\U0001133f", "\u0bc0": "\U00011340", "\u0bc1": "\U00011341", "\u0bc2": "\U00011342", "\u0bc6": "\U00011347",
+    "\u0bc7": "\U00011347", "\u0bc8": "\U00011348", "\u0bca": "\U0001134b", "\u0bcb": "\U0001134b", "\u0bcc": "\U0001134c", "\u0bcd": "\U0001134d", "\u0bd7": "\U00011357",
+}
+
+
+def _spelt(text: Column, block: str, other: dict[str, str]) -> Column:
+    """Letters of a block for roman ones: a vowel behind a consonant is a mark (``a`` none), anything else there, and the end, calls for a virama."""
+    vowels, consonants = _block(block, INDIC_VOWELS), _block(block, INDIC_CONSONANTS)
+    letters = vowels | consonants | _block(block, INDIC_OTHER) | DANDAS | other
+    marks, virama = _block(block, INDIC_MARKS) | {"a": ""}, chr(BLOCKS[block] + VIRAMA)
     table, signs, plain = literal_map(letters), literal_map(marks), F.array(*map(F.lit, consonants))
 
     def out(all_: Column) -> Column:
@@ -202,9 +210,42 @@ def roman_to_indic(text: Column, script: str) -> Column:
 
         return F.array_join(F.transform(all_, piece), "")
 
-    made = F.element_at(F.transform(F.array(tokens(text, list(letters))), out), 1)
-    if script == "malayalam":
-        made = F.regexp_replace(made, "(^|[^്])ര്(?=\\S)", "$1ൎ")
-        for plain_letter, final in CHILLU.items():
-            made = F.regexp_replace(made, f"{plain_letter}്(?![^\\s‌,—’―])", final)
+    return F.element_at(F.transform(F.array(tokens(text, list(letters))), out), 1)
+
+
+def roman_to_tamil(text: Column) -> Column:
+    """Tamil script with Grantha letters where it has none; a capital vowel or ``·`` inside a word keeps its letter apart from the one before."""
+    text = F.regexp_replace(text, r"([kṅcñṭṇtnpmyrlvḻḷṟṉ])\s+([aāiīuūeēoō])", "$1$2")
+    text = F.regexp_replace(text, r"(^|\s)_ā", "$1அ\u200dா")
+    text = F.regexp_replace(F.regexp_replace(text, r"(\S)([AĀIĪUŪEĒOŌ])", "$1\u200c$2"), r"(\S)·", "$1\u200c")
+    made = _spelt(F.lower(text), "tamil", TAMIL_OTHER)
+    borrowed = "".join(_block("tamil", {c: o for c, o in INDIC_CONSONANTS.items() if c in BORROWED}).values())
+    for sign, theirs in TAMIL_SIGNS.items():
+        made = F.regexp_replace(made, f"([{borrowed}]){sign}", f"$1{theirs}")
     return made
+
+
+def roman_to_indic(text: Column, script: str) -> Column:
+    """A romanised text in devanagari, telugu, malayalam, grantha (letters of the Malayalam block, as its fonts take them), tamil or bengali.
+
+    Words run together where the script writes them so; vowels behind a consonant become marks (``a`` none); a consonant with no
+    vowel behind it gets a virama. A null stays null.
+    """
+    if script == "tamil":
+        return roman_to_tamil(text)
+    block = "malayalam" if script == "grantha" else script
+    text = F.lower(F.regexp_replace(text, "ṙ", "r\u200d" if script == "telugu" else "r"))
+    text = F.regexp_replace(text, "^_ā", f"{chr(BLOCKS[block] + INDIC_OTHER["'"])}\u200d{chr(BLOCKS[block] + INDIC_MARKS['ā'])}")
+    for pattern, by in JOINS:
+        text = F.regexp_replace(text, pattern, by)
+    if block == "malayalam":
+        text = F.translate(text, "ṁḿíúé", "ṃṃiue")
+    made = _spelt(text, block, {})
+    if script == "devanagari":
+        return F.translate(made, "¯", "ꣻ")
+    if block == "malayalam":
+        made = F.regexp_replace(made, "(^|[^്])ര്(?=\\S)", "$1ൎ")
+        finals, before = (GRANTHA_FINALS, "[^\u200c ,—’―]") if script == "grantha" else (CHILLU, "[^\\s\u200c,—’―]")
+        for plain_letter, final in finals.items():
+            made = F.regexp_replace(made, f"{plain_letter}്(?!{before})", final)
+    return F.replace(made, F.lit("ക്ഷി"), F.lit("க்ஷி")) if script == "grantha" else made

@@ -163,7 +163,7 @@ def detect_script(spark: SparkSession, d: str) -> DataFrame:
 
 
 def translit_roman_to_indic(spark: SparkSession, d: str) -> DataFrame:
-    return derived.words_text(spark, d).select("doc_id", *[translit.roman_to_indic(F.col("seq"), s).alias(s) for s in ("devanagari", "telugu", "malayalam")])
+    return derived.words_text(spark, d).select("doc_id", *[translit.roman_to_indic(F.col("seq"), s).alias(s) for s in ("devanagari", "telugu", "malayalam", "grantha", "tamil")])
 
 
 def translit_indic_to_roman(spark: SparkSession, d: str) -> DataFrame:
