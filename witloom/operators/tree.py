@@ -208,19 +208,29 @@ def reconstruct_node(cells: DataFrame, solved: DataFrame, node, siglum: str) ->
 def variant_spread(cells: DataFrame, paths: DataFrame) -> DataFrame:
     """For each reading of each column the longest path between two of its witnesses, and its share of the diameter.
 
-    Witness sets repeat over columns: each distinct set is measured once, and pairs are taken inside these sets only. ``paths`` are those
-    of one tree; with a ``tree_id`` every tree gets rows of its own, measured by its own diameter.
+    Witness sets repeat over columns: each distinct set is measured once, and by two sweeps: the witness farthest from the set's first,
+    then the longest path from that one. In a tree this is the longest of all, for (edges, length) too, which add up along paths and are
+    ordered; so a set of k witnesses costs 2k paths and not all its pairs. Witnesses outside the tree don't count, repeated ones count once
+    in a path. ``paths`` are those of one tree; with a ``tree_id`` every tree gets rows of its own, measured by its own diameter.
     """
     by = [c for c in ("tree_id",) if c in paths.columns]
     known = paths.select(*by, F.col("a").alias("siglum")).union(paths.select(*by, "b")).distinct()
     sets = cells.join(known, "siglum").groupBy(*by, *COLUMN, "reading").agg(F.sort_array(F.collect_list("siglum")).alias("wits"))
-    kinds = sets.select(*by, "wits").distinct().withColumn("key", F.concat_ws(" ", "wits"))
-    members = kinds.select(*by, "key", F.explode("wits").alias("w"))
-    pairs = members.select(*by, "key", F.col("w").alias("a")).join(members.select(*by, "key", F.col("w").alias("b")), [*by, "key"]).where("a < b").join(paths, [*by, "a", "b"])
-    longest = F.max(F.struct("edges", "length")).alias("p")
-    best = pairs.groupBy(*by, "key").agg(longest).select(*by, "key", F.col("p.edges").alias("spread"), F.col("p.length").alias("branch"))
-    diameter = paths.groupBy(*by).agg(F.max("edges").alias("diameter"))
-    out = sets.withColumn("key", F.concat_ws(" ", "wits")).join(best, [*by, "key"], "left")
-    out = out.join(diameter, by) if by else out.crossJoin(F.broadcast(diameter))
+    sets = sets.withColumn("key", F.xxhash64("wits"))
+    kinds = sets.select(*by, "key", "wits").distinct()
+    # Paths of both directions; sides of a pair are looked up as (from, to).
+    step = F.struct("edges", "length")
+    both = paths.select(*by, F.col("a").alias("from"), F.col("b").alias("to"), step.alias("p")).unionByName(paths.select(*by, F.col("b").alias("from"), F.col("a").alias("to"), step.alias("p")))
+
+    def sweep(starts: DataFrame) -> DataFrame:
+        """The longest path of each set from its ``from``; sets of one witness have none."""
+        reached = starts.select(*by, "key", "wits", "from", F.explode(F.array_distinct("wits")).alias("to")).join(both, [*by, "from", "to"])
+        return reached.groupBy(*by, "key", "wits").agg(F.max(F.struct("p", F.col("to").alias("end"))).alias("far"))
+
+    ends = sweep(kinds.withColumn("from", F.element_at("wits", 1)))
+    best = sweep(ends.select(*by, "key", "wits", F.col("far.end").alias("from"))).select(*by, "key", "wits", F.col("far.p.edges").alias("spread"), F.col("far.p.length").alias("branch"))
+    diameter = tree_diameter(paths) if by else paths.agg(F.max("edges").alias("diameter"))
+    out = sets.join(best, [*by, "key", "wits"], "left")
+    out = out.join(diameter, by) if by else out.crossJoin(F.broadcast(diameter))  # one row
     single = F.size("wits") == 1
     return out.select(*by, *COLUMN, "reading", F.size("wits").alias("witnesses"), F.when(single, 0).otherwise(F.col("spread")).alias("spread"), F.round(F.when(single, 0.0).otherwise(F.col("branch")), 6).alias("branch"), F.round(F.when(single, 1.0).otherwise(F.col("spread")) / F.col("diameter"), 6).alias("ratio"))
