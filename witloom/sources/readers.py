@@ -1,25 +1,79 @@
 """Sources: FASTA, aligned TEI, alignment CSV, NeXML trees, scoring matrices, TEI editions.
 
-A file is a passage or a corpus: files are read whole (``wholetext``) and parsed as rows, so many files are many tasks. The
-parsing functions take rows (path, value) and work on any such table.
+Files of many records (FASTA, TEI corpora, NeXML) are read in splits, by the text that ends a record (:func:`pieces`), so one large
+file is many tasks; others are read whole (``wholetext``). The parsing functions take rows (path, value) and work on any such table.
 """
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.translit import iast_to_slp1
+from ..storage import stored
+
+
+def file_title() -> Column:
+    """The file's name without its ending."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """path (the file's name without its ending) and value (its text)."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return spark.read.text(path, wholetext=True).select(name.alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(file_title().alias("path"), "value")
+
+
+def pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """path, file, piece, value: the texts between two ``end``, numbered from 0 in each file; ``end`` itself goes.
+
+    A file is read in splits (``spark.sql.files.maxPartitionBytes``), and a piece belongs to the split in which it begins. Numbers are
+    running counts: a piece's place in its split plus the pieces of the splits before. Only these counts, one row a split, are
+    brought together; pieces stay where they are read. They are written once, as other splits in a second reading would count
+    otherwise. Nothing stands behind a last ``end``. Files of one name in several folders keep their own numbers.
+    """
+    read = spark.read.option("lineSep", end).text(path)
+    cut = stored(read.select(file_title().alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value"), "pieces")
+    # A split lies in one task, where ids go up by one: its first id tells each piece's place.
+    splits = cut.groupBy("file", "split").agg(F.count("*").alias("held"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "split", (before - F.col("first")).alias("shift"))
+    return cut.join(starts, ["file", "split"]).select("path", "file", (F.col("at") + F.col("shift")).alias("piece"), "value")
+
+
+#: A prefix of an element or attribute, which may be bound outside the piece that holds it.
+PREFIX = re.compile(r"[<\s]([^\W\d][\w.-]*):[\w.-]+(?=[\s=/>])")
+
+
+def standing_alone(text: str, name: str) -> str | None:
+    """A piece of a file as an XML document: from the first ``name`` on, its end put back, prefixes bound; none if no ``name`` starts in it.
+
+    Comments go before the name is looked for.
+    """
+    begun = re.search(rf"<{name}(?=[\s>])", text := re.sub(r"(?s)<!--.*?-->", "", text))
+    if begun is None:
+        return None
+    body = text[begun.start() :]
+    bound = "".join(f' xmlns:{p}="{p}"' for p in sorted(set(PREFIX.findall(body)) - {"xml", "xmlns"}))
+    return f"<piece{bound}>{body}</{name}></piece>"
+
+
+def xml_pieces(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """path, value, piece: the elements ``name`` of XML files as documents, in splits of files.
+
+    Elements of this name don't nest, are written without a prefix and end in ``</name>`` without white space; entities declared in a
+    file's head aren't known. A piece without a begun element (behind the last, or between comments) has no row.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([standing_alone(t, name) for t in b.column("value").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("path"), made, b.column("piece")], ["path", "value", "piece"]).filter(made.is_valid())
+
+    return pieces(spark, path, f"</{name}>").select("path", "value", "piece").mapInArrow(run, "path string, value string, piece long")
 
 
 def root_of(text: str | None) -> ET.Element | None:
@@ -51,15 +105,20 @@ def rejected(files: DataFrame) -> DataFrame:
     return files.select("path", "value").mapInArrow(run, "path string, error string")
 
 
-def parse_fasta(files: DataFrame) -> DataFrame:
-    """passage_id, siglum, wit_ord, seq: the header is the rest of a ``>`` line, trimmed; line ends in sequences go."""
-    records = files.select(F.col("path").alias("passage_id"), F.posexplode(F.slice(F.split("value", ">"), 2, 2**31 - 1)).alias("wit_ord", "record"))
+def fasta_rows(records: DataFrame) -> DataFrame:
+    """passage_id, siglum, wit_ord, seq of ``records`` (passage_id, wit_ord, record), a record being what stands behind a ``>``."""
     head = F.regexp_extract("record", r"^([^\r\n]*)", 1)
     return records.select("passage_id", F.trim(head).alias("siglum"), "wit_ord", F.regexp_replace(F.regexp_replace("record", r"^[^\r\n]*", ""), r"[\r\n]", "").alias("seq"))
 
 
+def parse_fasta(files: DataFrame) -> DataFrame:
+    """passage_id, siglum, wit_ord, seq: the header is the rest of a ``>`` line, trimmed; line ends in sequences go."""
+    return fasta_rows(files.select(F.col("path").alias("passage_id"), F.posexplode(F.slice(F.split("value", ">"), 2, 2**31 - 1)).alias("wit_ord", "record")))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return parse_fasta(whole_files(spark, path))
+    """The rows of :func:`parse_fasta` from files read in splits: the first piece of a file, before any ``>``, is no record."""
+    return fasta_rows(pieces(spark, path, ">").where("piece > 0").select(F.col("path").alias("passage_id"), (F.col("piece") - 1).cast("int").alias("wit_ord"), F.col("value").alias("record")))
 
 
 def parse_alignment_csv(files: DataFrame) -> DataFrame:
@@ -86,9 +145,9 @@ def _tei_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_()]
     local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
     for batch in batches:
-        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for path, text, first in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             rows = []
-            for order, tei in enumerate(elements(text, "TEI")):
+            for order, tei in enumerate(elements(text, "TEI"), first):
                 groups = {id(w): g for g, cl in enumerate(e for e in tei.iter() if local(e) == "cl") for w in cl.iter()}
                 for w in tei.iter():
                     if local(w) == "w":
@@ -99,12 +158,20 @@ def _tei_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse_tei_matrix(files: DataFrame) -> DataFrame:
-    """Cells with attributes and groups of aligned TEI corpora; spaces in cells are kept, inline children read as their text."""
-    return files.select("path", "value").mapInArrow(_tei_cells, "passage_id string, siglum string, wit_ord int, n int, reading string, lemma string, emended boolean, group_id int, insignificant boolean, binary boolean")
+    """Cells with attributes and groups of aligned TEI corpora; spaces in cells are kept, inline children read as their text.
+
+    Witnesses are counted from 0 in each row, or from its ``piece`` where ``files`` has that column.
+    """
+    first = F.col("piece") if "piece" in files.columns else F.lit(0)
+    return files.select("path", "value", first.cast("int").alias("first")).mapInArrow(_tei_cells, "passage_id string, siglum string, wit_ord int, n int, reading string, lemma string, emended boolean, group_id int, insignificant boolean, binary boolean")
 
 
 def read_tei_matrix(spark: SparkSession, path: str) -> DataFrame:
-    return parse_tei_matrix(whole_files(spark, path))
+    """The cells of corpora read in splits, one text a piece; a malformed text has no rows and leaves the others theirs.
+
+    ``rejected(xml_pieces(spark, path, "TEI"))`` lists such texts.
+    """
+    return parse_tei_matrix(xml_pieces(spark, path, "TEI"))
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +199,8 @@ def parse_trees(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_trees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_trees(whole_files(spark, path))
+    """Nodes and edges of NeXML files read in splits, one tree a piece."""
+    return parse_trees(stored(xml_pieces(spark, path, "tree"), "trees"))
 
 
 def parse_subst_matrix(files: DataFrame) -> DataFrame:
