@@ -213,6 +213,11 @@ def oracle_sql() -> dict[str, str]:
         "delete_rows": sql("SELECT passage_id, siglum, CAST(dense_rank() OVER (PARTITION BY passage_id ORDER BY wit_ord) - 1 AS INTEGER) AS wit_ord, n, reading FROM cells WHERE (passage_id + wit_ord) % 5 <> 0", "cells"),
         "delete_empty_rows": sql("SELECT passage_id, siglum, n, reading FROM (SELECT *, bool_or(reading <> '') OVER (PARTITION BY passage_id, siglum) AS held FROM holed) WHERE held", "holed"),
         "variant_texts": sql("SELECT passage_id, w AS siglum, trim(regexp_replace(string_agg(CASE WHEN list_contains(wits, w) THEN text ELSE '' END, '' ORDER BY seg_no), '\\s+', ' ', 'g')) AS text FROM segs, (VALUES ('A'), ('B'), ('C')) x(w) GROUP BY 1, 2", "segs"),
+        "passage_defaults": """WITH said AS (
+                SELECT lpad(CAST(conv_id // 8 AS VARCHAR), 12, '0') AS doc_id, 'p' || CAST(conv_id % 8 AS VARCHAR) AS passage_id, string_agg(text, ' ' ORDER BY turn) AS t
+                FROM conversations WHERE conv_id % 5 <> 0 GROUP BY conv_id)
+            SELECT doc_id, passage_id, md5(regexp_replace(t, '[\\x00-\\x20]+', '', 'g')) AS text_md5 FROM said
+            WHERE t <> '' AND passage_id IN (SELECT passage_id FROM said WHERE doc_id = (SELECT min(doc_id) FROM said))""",
         "passage_select": sql("SELECT passage_id, seg_no, kind, text FROM segs WHERE passage_id IN (SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 2)", "segs"),
         "align_zip": sql("SELECT passage_id, siglum, n, reading, CASE WHEN upper(substr(reading, 1, 1)) <> reading THEN upper(substr(reading, 1, 1)) END AS lemma FROM (SELECT passage_id, siglum, n, reading FROM cells)", "cells"),
     }

@@ -191,6 +191,19 @@ def passage_select(spark: SparkSession, d: str) -> DataFrame:
     return editions.passage_select(derived.segments(spark, d), wanted).select("passage_id", "seg_no", "kind", "text")
 
 
+def passage_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Editions of up to eight conversations, each a passage p0 to p7 (no fifth conversation); those passages that the first edition has."""
+    turns = derived.table(spark, d, "conversations").where("conv_id % 5 <> 0")
+    said = turns.select("conv_id", "turn", F.regexp_replace(writers.escaped(F.col("text")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "").alias("x"))
+    texts = said.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "x"))), lambda v: v["x"]), " ").alias("x"))
+    block = F.concat(F.lit('<p xml:id="p'), (F.col("conv_id") % 8).cast("string"), F.lit('">'), "x", F.lit("</p>"))
+    books = texts.groupBy(F.lpad(F.floor(F.col("conv_id") / 8).cast("string"), 12, "0").alias("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("conv_id", block.alias("b")))), lambda v: v["b"]), "").alias("b"))
+    files = books.select("path", F.concat(F.lit("<TEI><text>"), "b", F.lit("</text></TEI>")).alias("value"))
+    kept = editions.passage_select(editions.segments(files), editions.default_passages(files))
+    whole = kept.groupBy("doc_id", "passage_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda v: v["text"]), "").alias("text"))
+    return whole.select("doc_id", "passage_id", F.md5(F.regexp_replace("text", r"[\x00-\x20]+", "")).alias("text_md5"))
+
+
 def pick_reading(spark: SparkSession, d: str) -> DataFrame:
     return columns.pick_reading(derived.cells_norm(spark, d)).select("passage_id", "siglum", "n", "picked")
 
@@ -546,7 +559,7 @@ def queries() -> dict[str, Query]:
     named = (
         fasta_parse, tei_matrix_read, csv_matrix_read, tree_read, subst_matrix, passage_extract, tei_matrix_write, csv_matrix_write, nexus_write, apparatus_write, fasta_write, subst_hex,
         translit_roman, split_glyphs, split_aksaras, split_words, normalise_text, normalise_full, normalise_tokens, renormalise_cells, detect_script, translit_indic_to_roman, translit_roman_to_indic, nexus_reading,
-        tag_policy_text, variant_texts, passage_select, pick_reading, span_reading, drop_insignificant, gaps_significant, export_normalised, export_pipeline,
+        tag_policy_text, variant_texts, passage_select, passage_defaults, pick_reading, span_reading, drop_insignificant, gaps_significant, export_normalised, export_pipeline,
         subst_score, token_pair_score, pairwise_align, pairwise_rescored, center_witness, star_merge, star_merge_rows, collate_words, collate_aksaras, align_zip, concat_alignments, expand_acpc, missing_witnesses, witnesses_in_tree, base_collation,
         column_stats, empty_columns, empty_rows, variant_groups, merge_columns, merge_groups, binarise, flag_state, dissolving_groups, matrix_dims,
         nexus_states, nexus_labels, nexus_rows, renumber_columns, group_by_whitespace, group_position, nearest_nonempty, column_bounds, move_row,

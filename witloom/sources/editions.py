@@ -118,6 +118,32 @@ def segments(documents: DataFrame) -> DataFrame:
     return documents.select("path", "value").mapInArrow(_segments, "doc_id string, siglum string, witnesses array<string>, passage_id string, seg_no int, app_no int, kind string, wits array<string>, text string")
 
 
+def _block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root = root_of(text)
+            blocks = () if root is None else (e.get(XML_ID) for e in root.iter() if _local(e) in BLOCKS and e.get(XML_ID))
+            rows += [(path, k, name) for k, name in enumerate(blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["doc_id", "passage_ord", "passage_id"])
+
+
+def passage_ids(documents: DataFrame) -> DataFrame:
+    """doc_id, passage_ord, passage_id: every block with an id of ``documents`` (path, value), empty ones too, in the order of the text."""
+    return documents.select("path", "value").mapInArrow(_block_ids, "doc_id string, passage_ord int, passage_id string")
+
+
+def default_passages(documents: DataFrame, first: str | None = None) -> DataFrame:
+    """passage_ord, passage_id: the passages taken where none are named, those of document ``first``, by default the first path in order.
+
+    Only that document is parsed. If it is malformed or has no ids, or there are no documents, there are no passages; an id that
+    stands twice counts where it stands first.
+    """
+    lead = documents.agg(F.min("path").alias("path")) if first is None else documents.sparkSession.createDataFrame([(first,)], "path string")
+    ids = passage_ids(documents.join(F.broadcast(lead), "path", "left_semi"))  # one row
+    return ids.groupBy("passage_id").agg(F.min("passage_ord").alias("passage_ord")).select("passage_ord", "passage_id")
+
+
 def passage_select(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Segments of the passages in ``wanted`` (passage_id)."""
     return parsed.join(wanted.select("passage_id").distinct(), "passage_id", "left_semi")
