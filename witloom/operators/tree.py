@@ -15,6 +15,10 @@ from .columns import pick_reading
 from .stats import COLUMN
 
 
+#: Rows of a witness set that holds more than one row in this many don't move in joins; at most this many sets are broadcast.
+HOT_SHARE = 10_000
+
+
 def tree_reroot(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Roots a tree whose root touches three edges: ``fakeroot`` goes on the first of them between internal nodes.
 
@@ -216,21 +220,29 @@ def variant_spread(cells: DataFrame, paths: DataFrame) -> DataFrame:
     by = [c for c in ("tree_id",) if c in paths.columns]
     known = paths.select(*by, F.col("a").alias("siglum")).union(paths.select(*by, "b")).distinct()
     sets = cells.join(known, "siglum").groupBy(*by, *COLUMN, "reading").agg(F.sort_array(F.collect_list("siglum")).alias("wits"))
-    sets = sets.withColumn("key", F.xxhash64("wits"))
-    kinds = sets.select(*by, "key", "wits").distinct()
+    # A set is told by 128 bits, so that only distinct sets carry their witnesses further.
+    sets = stored(sets.withColumn("key", F.md5(F.concat_ws("\x1f", "wits"))).withColumn("witnesses", F.size("wits")), "sets")
+    kinds = sets.groupBy(*by, "key").agg(F.first("wits").alias("wits"), F.count("*").alias("held"))
     # Paths of both directions; sides of a pair are looked up as (from, to).
     step = F.struct("edges", "length")
     both = paths.select(*by, F.col("a").alias("from"), F.col("b").alias("to"), step.alias("p")).unionByName(paths.select(*by, F.col("b").alias("from"), F.col("a").alias("to"), step.alias("p")))
 
     def sweep(starts: DataFrame) -> DataFrame:
         """The longest path of each set from its ``from``; sets of one witness have none."""
-        reached = starts.select(*by, "key", "wits", "from", F.explode(F.array_distinct("wits")).alias("to")).join(both, [*by, "from", "to"])
-        return reached.groupBy(*by, "key", "wits").agg(F.max(F.struct("p", F.col("to").alias("end"))).alias("far"))
+        reached = starts.select(*by, "key", "held", "wits", "from", F.explode(F.array_distinct("wits")).alias("to")).join(both, [*by, "from", "to"])
+        return reached.groupBy(*by, "key").agg(F.first("held").alias("held"), F.first("wits").alias("wits"), F.max(F.struct("p", F.col("to").alias("end"))).alias("far"))
 
     ends = sweep(kinds.withColumn("from", F.element_at("wits", 1)))
-    best = sweep(ends.select(*by, "key", "wits", F.col("far.end").alias("from"))).select(*by, "key", "wits", F.col("far.p.edges").alias("spread"), F.col("far.p.length").alias("branch"))
+    best = stored(sweep(ends.withColumn("from", F.col("far.end"))).select(*by, "key", "held", F.col("far.p.edges").alias("spread"), F.col("far.p.length").alias("branch")), "spreads")
+    # Sets that hold more than one row in HOT_SHARE (so at most that many) meet their rows where these lie; no task gets all rows of one.
+    total = sets.agg(F.count("*").alias("total"))
+    hot = best.crossJoin(F.broadcast(total)).where(F.col("held") * HOT_SHARE > F.col("total")).drop("held", "total")
+    in_hot = sets.join(F.broadcast(hot), [*by, "key"])
+    in_rest = sets.join(F.broadcast(hot.select(*by, "key")), [*by, "key"], "left_anti")
+    # A set of one witness has no path; neither it nor a null moves to the others.
+    alone = in_rest.where("witnesses = 1").withColumn("spread", F.lit(None).cast("int")).withColumn("branch", F.lit(None).cast("double"))
+    met = in_hot.unionByName(alone).unionByName(in_rest.where("witnesses > 1").join(best.drop("held"), [*by, "key"], "left"))
     diameter = tree_diameter(paths) if by else paths.agg(F.max("edges").alias("diameter"))
-    out = sets.join(best, [*by, "key", "wits"], "left")
-    out = out.join(diameter, by) if by else out.crossJoin(F.broadcast(diameter))  # one row
-    single = F.size("wits") == 1
-    return out.select(*by, *COLUMN, "reading", F.size("wits").alias("witnesses"), F.when(single, 0).otherwise(F.col("spread")).alias("spread"), F.round(F.when(single, 0.0).otherwise(F.col("branch")), 6).alias("branch"), F.round(F.when(single, 1.0).otherwise(F.col("spread")) / F.col("diameter"), 6).alias("ratio"))
+    out = met.join(diameter, by) if by else met.crossJoin(F.broadcast(diameter))  # one row
+    single = F.col("witnesses") == 1
+    return out.select(*by, *COLUMN, "reading", "witnesses", F.when(single, 0).otherwise(F.col("spread")).alias("spread"), F.round(F.when(single, 0.0).otherwise(F.col("branch")), 6).alias("branch"), F.round(F.when(single, 1.0).otherwise(F.col("spread")) / F.col("diameter"), 6).alias("ratio"))
