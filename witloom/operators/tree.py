@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .columns import pick_reading
 from .stats import COLUMN
+from .walk import steps, taxon_pairs
 
 
 #: Rows of a witness set that holds more than one row in this many don't move in joins; at most this many sets are broadcast.
@@ -73,27 +74,18 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def tree_faults(edges: DataFrame) -> DataFrame:
     """tree_id, fault (``second parent`` or ``cycle``) of the trees that the other operators leave out."""
-    twice = second_parents(edges)
-    walked = closure(edges).select("tree_id").distinct()
-    circling = edges.select("tree_id").distinct().join(twice, "tree_id", "left_anti").join(walked, "tree_id", "left_anti")
-    return twice.withColumn("fault", F.lit("second parent")).unionByName(circling.withColumn("fault", F.lit("cycle")))
+    unnamed = edges.select("tree_id", F.col("target").alias("node_id"), F.lit(None).cast("string").alias("label"))
+    return steps(unnamed, edges).where("fault IS NOT NULL").select("tree_id", "fault")
 
 
 def tree_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Level of each node: taxa 0, others one above their highest child."""
-    taxa = nodes.where("label IS NOT NULL").select("tree_id", F.col("node_id").alias("node"))
-    below = closure(edges).join(taxa, ["tree_id", "node"])
-    return below.groupBy("tree_id", F.col("ancestor").alias("node_id")).agg(F.max("edges").alias("level"))
+    """Level of each node: taxa 0, others one above their highest child; nodes without a taxon below have none."""
+    return steps(nodes, edges).where("level IS NOT NULL").select("tree_id", F.col("node").alias("node_id"), "level")
 
 
 def tree_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges and branch length between any two taxa, by their lowest common ancestor."""
-    taxa = nodes.where("label IS NOT NULL").select("tree_id", F.col("node_id").alias("node"), "label")
-    up = closure(edges).join(taxa, ["tree_id", "node"])
-    side = lambda s: up.select("tree_id", "ancestor", F.col("label").alias(s), F.col("edges").alias(f"{s}_edges"), F.col("length").alias(f"{s}_length"))
-    pairs = side("a").join(side("b"), ["tree_id", "ancestor"]).where("a < b")
-    total = F.struct((F.col("a_edges") + F.col("b_edges")).alias("edges"), (F.col("a_length") + F.col("b_length")).alias("length"))
-    return pairs.groupBy("tree_id", "a", "b").agg(F.min_by(total, F.col("a_edges") + F.col("b_edges")).alias("p")).select("tree_id", "a", "b", "p.edges", "p.length")
+    return taxon_pairs(steps(nodes, edges))
 
 
 def tree_diameter(paths: DataFrame) -> DataFrame:
@@ -110,8 +102,7 @@ def plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     text = lambda c: F.col(c).cast("string").alias(c)
     e = edges.select("tree_id", "edge_ord", text("source"), text("target"), "length")
-    heights = closure(e).groupBy("tree_id", F.col("ancestor").alias("node_id")).agg(F.max("edges").alias("height"))
-    named = heights.join(nodes.select("tree_id", text("node_id"), "label"), ["tree_id", "node_id"], "left")
+    named = steps(nodes, e).where("fault IS NULL").select("tree_id", F.col("node").alias("node_id"), "label", "height")
     placed = stored(named.withColumn("place", F.row_number().over(Window.partitionBy("tree_id").orderBy("height", "node_id")) - 1), "places")
     at = lambda c, k: placed.select("tree_id", F.col("node_id").alias(c), F.col("place").alias(k))
     below = e.join(at("target", "child"), ["tree_id", "target"]).groupBy("tree_id", F.col("source").alias("node_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("edge_ord", "child"))), lambda x: x["child"]).alias("children"))
