@@ -28,6 +28,16 @@ TEI = "http://www.tei-c.org/ns/1.0"
 XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
 
+def tei_word() -> Column:
+    """A column's cell as ``w``; a lemma only where it differs."""
+    lemma = F.when(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("reading")), F.concat(F.lit(' lemma="'), escaped("lemma"), F.lit('"'))).otherwise("")
+    return F.concat(F.lit('<w n="'), F.col("n").cast("string"), F.lit('"'), lemma, F.lit(">"), escaped("reading"), F.lit("</w>"))
+
+
+def tei_text(words: str) -> Column:
+    return F.concat(F.lit('<TEI n="'), escaped("siglum"), F.lit('"><text>'), words, F.lit("</text></TEI>"))
+
+
 def tei_matrix(cells: DataFrame, slp1: bool = False) -> DataFrame:
     """passage_id, value: a TEI corpus with one text a witness and one ``w`` a column; a lemma only where it differs.
 
@@ -35,18 +45,19 @@ def tei_matrix(cells: DataFrame, slp1: bool = False) -> DataFrame:
     """
     if slp1:
         cells = cells.withColumns({c: slp1_to_iast(F.col(c)) for c in ("reading", "lemma")})
-    lemma = F.when(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("reading")), F.concat(F.lit(' lemma="'), escaped("lemma"), F.lit('"'))).otherwise("")
-    word = F.concat(F.lit('<w n="'), F.col("n").cast("string"), F.lit('"'), lemma, F.lit(">"), escaped("reading"), F.lit("</w>"))
-    rows = cells.groupBy(*ROW).agg(ordered_join(word).alias("ws"))
-    rows = rows.withColumn("tei", F.concat(F.lit('<TEI n="'), escaped("siglum"), F.lit('"><text>'), "ws", F.lit("</text></TEI>")))
+    rows = cells.groupBy(*ROW).agg(ordered_join(tei_word()).alias("ws")).withColumn("tei", tei_text("ws"))
     whole = rows.groupBy("passage_id").agg(by_witness("tei").alias("teis"))
     return whole.select("passage_id", F.concat(F.lit(f'{XML_HEAD}<teiCorpus xmlns="{TEI}">\n'), "teis", F.lit("\n</teiCorpus>")).alias("value"))
 
 
+def csv_cell() -> Column:
+    """A reading in quotes, quotes doubled."""
+    return F.concat(F.lit('"'), F.replace("reading", F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def alignment_csv(cells: DataFrame) -> DataFrame:
     """passage_id, value: a line a witness, cells in quotes, quotes doubled."""
-    quoted = F.concat(F.lit('"'), F.replace("reading", F.lit('"'), F.lit('""')), F.lit('"'))
-    rows = cells.groupBy(*ROW).agg(ordered_join(quoted, ",").alias("line")).withColumn("line", F.concat_ws(",", "siglum", "line"))
+    rows = cells.groupBy(*ROW).agg(ordered_join(csv_cell(), ",").alias("line")).withColumn("line", F.concat_ws(",", "siglum", "line"))
     return rows.groupBy("passage_id").agg(by_witness("line").alias("value"))
 
 
