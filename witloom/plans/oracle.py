@@ -242,4 +242,8 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT tree_id, 'fakeroot', '2', CAST(0 AS DOUBLE) FROM {TREES}"""
     # In the file, a tree's edges stand behind its 31 nodes.
     out["tree_read"] = f"SELECT tree_id, 'e' || CAST(i AS VARCHAR) AS edge_id, CAST(i + 29 AS INTEGER) AS edge_ord, CAST(i // 2 AS VARCHAR) AS source, CAST(i AS VARCHAR) AS target, CAST(0.01 AS DOUBLE) * ((i * 7) % 13) AS length FROM range(2, 32) r(i), {TREES}"
+    # The lines of the files whose whole texts the queries of the writers give.
+    for name, written in (("tei_matrix_lines", "tei_matrix_write"), ("csv_matrix_lines", "csv_matrix_write"), ("nexus_lines", "nexus_write")):
+        out[name] = f"SELECT passage_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line_no, unnest(l) AS line FROM (SELECT passage_id, string_split(value, chr(10)) AS l FROM ({out[written]}))"
+    out["fasta_lines"] = sql("SELECT passage_id, CAST(row_number() OVER (PARTITION BY passage_id ORDER BY wit_ord, k DESC) AS INTEGER) AS line_no, CASE WHEN k = 1 THEN '>' || siglum ELSE seq END AS line FROM seqs, (VALUES (1), (0)) v(k)", "seqs")
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise, translit
 from ..operators import align, apparatus, coding, columns, edits, stats, tree, witnesses
-from ..sources import editions, readers, writers
+from ..sources import editions, line_files, readers, writers
 from ..storage import stored
 from . import derived
 from .oracle import PLAIN_RULES
@@ -112,6 +112,22 @@ def fasta_write(spark: SparkSession, d: str) -> DataFrame:
     return writers.fasta(derived.witness_seq(spark, d))
 
 
+def tei_matrix_lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_files.numbered(line_files.tei_matrix_lines(derived.cells_norm(spark, d), slp1=True))
+
+
+def csv_matrix_lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_files.numbered(line_files.alignment_csv_lines(derived.cells_spaced(spark, d)))
+
+
+def nexus_lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_files.numbered(line_files.nexus_lines(marked(spark, d)))
+
+
+def fasta_lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_files.numbered(line_files.fasta_lines(derived.witness_seq(spark, d)))
+
+
 def subst_hex(spark: SparkSession, d: str) -> DataFrame:
     flags = derived.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
     labels = flags.select(F.explode(F.array("l_returnflag", "l_linestatus")).alias("label")).distinct()
@@ -557,7 +573,7 @@ def delete_empty_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (
-        fasta_parse, tei_matrix_read, csv_matrix_read, tree_read, subst_matrix, passage_extract, tei_matrix_write, csv_matrix_write, nexus_write, apparatus_write, fasta_write, subst_hex,
+        fasta_parse, tei_matrix_read, csv_matrix_read, tree_read, subst_matrix, passage_extract, tei_matrix_write, csv_matrix_write, nexus_write, apparatus_write, fasta_write, subst_hex, tei_matrix_lines, csv_matrix_lines, nexus_lines, fasta_lines,
         translit_roman, split_glyphs, split_aksaras, split_words, normalise_text, normalise_full, normalise_tokens, renormalise_cells, detect_script, translit_indic_to_roman, translit_roman_to_indic, nexus_reading,
         tag_policy_text, variant_texts, passage_select, passage_defaults, pick_reading, span_reading, drop_insignificant, gaps_significant, export_normalised, export_pipeline,
         subst_score, token_pair_score, pairwise_align, pairwise_rescored, center_witness, star_merge, star_merge_rows, collate_words, collate_aksaras, align_zip, concat_alignments, expand_acpc, missing_witnesses, witnesses_in_tree, base_collation,

@@ -7,7 +7,7 @@ sigla, or one column's labels). An empty matrix gives no lines. The apparatus st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.translit import slp1_to_iast
@@ -71,6 +71,12 @@ def nexus_lines(cells: DataFrame) -> DataFrame:
     return head
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """passage_id, line_no (from 1 in each file), line."""
+    place = F.row_number().over(Window.partitionBy("passage_id").orderBy("part", "at"))
+    return lines.select("passage_id", place.alias("line_no"), "line")
+
+
 def write_lines(lines: DataFrame, path: str, ending: str) -> None:
     """A folder a passage, ``passage=<id>.<ending>``; its part files, by name, are the file in order.
 
