@@ -59,9 +59,25 @@ def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], s
     """
     total = few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = F.least(F.lit(SALTS), F.ceil(F.col("n") * HOT_KEYS / max(1, total))).cast("int") if sized else F.lit(SALTS)
-    hot = F.broadcast(few.where(F.col("n") * HOT_KEYS > total).select(*on, parts.alias("hot_")))
+    hot = few.where(F.col("n") * HOT_KEYS > total).select(*on, parts.alias("hot_"))
+    return _dealt(many, few.drop("n"), on, by, hot, "inner")
+
+
+def spread_left_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """Left join with ``few`` (one row a key). Frequent keys are dealt out whether ``few`` has them or not.
+
+    Keys are counted first, from ``many``; those with more than one in HOT_KEYS of its rows go to as many parts as their rows ask for.
+    """
+    total = many.count()
+    held = many.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") * HOT_KEYS > total)
+    parts = F.least(F.lit(SALTS), F.ceil(F.col("n") * HOT_KEYS / max(1, total))).cast("int")
+    return _dealt(many, few, on, by, stored(held.select(*on, parts.alias("hot_")), "hot-keys"), "left")
+
+
+def _dealt(many: DataFrame, few: DataFrame, on: list[str], by: list[str], hot: DataFrame, how: str) -> DataFrame:
+    hot = F.broadcast(hot)
     salt = F.when(F.col("hot_").isNotNull(), F.pmod(F.xxhash64(*by), F.col("hot_"))).otherwise(0).cast("int")
     salts = F.when(F.col("hot_").isNotNull(), F.sequence(F.lit(0), F.col("hot_") - 1)).otherwise(F.array(F.lit(0)))
     left = many.join(hot, on, "left").withColumn("salt_", salt).drop("hot_")
-    right = few.drop("n").join(hot, on, "left").withColumn("salt_", F.explode(salts)).drop("hot_")
-    return left.join(right, [*on, "salt_"]).drop("salt_")
+    right = few.join(hot, on, "left").withColumn("salt_", F.explode(salts)).drop("hot_")
+    return left.join(right, [*on, "salt_"], how).drop("salt_")

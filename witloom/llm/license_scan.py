@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_of
+from .common import slices, spread_left_join, stored, text_of
 from .license_texts import TEMPLATES
 
 K = 4
@@ -166,4 +166,6 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), F.octet_length(text).alias("kn"))
     grams = keyed.select("k1", "k2", "kn", "text").mapInArrow(_grams, "k1 long, k2 int, kn int, grams array<long>")
     spans = stored(spans_of(grams, templates), "spans")
-    return keyed.join(spans, ["k1", "k2", "kn"], "left").select("doc_id", "text", "spans").mapInArrow(_finish(templates), RESULT)
+    # Rows of a frequent text, with spans or without, are dealt out by their places in the files.
+    found = spread_left_join(keyed.withColumn("at_", F.monotonically_increasing_id()), spans, ["k1", "k2", "kn"], ["at_"])
+    return found.select("doc_id", "text", "spans").mapInArrow(_finish(templates), RESULT)

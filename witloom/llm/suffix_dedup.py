@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, slices, spread_join, stored, text_of
+from .common import drop, slices, spread_join, spread_left_join, stored, text_of
 
 LENGTH = 200
 CORE = 100
@@ -390,8 +390,11 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, limit:
     kinds = places.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     kinds = stored(kinds, "kinds")
     mixed = stored(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
-    asked = spread_join(kinds.withColumnRenamed("n", "copies"), mixed, ["core"], ["whole"]).groupBy("one.k1", "one.k2", "one.kn").agg(F.collect_list(F.struct("core", "one.at", (F.col("copies") == 1).alias("alone"))).alias("wanted"))
-    contexts = stored(keyed.join(asked, KEY).mapInArrow(_contexts(length, core), CONTEXT), "contexts")
+    asked = spread_join(kinds.withColumnRenamed("n", "copies"), mixed, ["core"], ["whole"]).groupBy("one.k1", "one.k2", "one.kn").agg(F.collect_list(F.struct("core", "one.at", (F.col("copies") == 1).alias("alone"))).alias("wanted"), F.max("copies").alias("n"))
+    asked = stored(asked, "asked")
+    # A text stands in at most as many rows as its contexts; copies of a frequent one are dealt out, and each task takes one of them.
+    dealt = spread_join(keyed.withColumn("at_", F.monotonically_increasing_id()), asked, KEY, ["at_"], sized=True)
+    contexts = stored(dealt.select(*KEY, "text", "wanted").mapInArrow(_contexts(length, core), CONTEXT), "contexts")
     found = _solve_groups(contexts, length, limit)
     spans = found[0]
     for more in found[1:]:
@@ -401,6 +404,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, limit:
     whole = stored(whole, "whole")
     drop(places)
     drop(kinds)
+    drop(asked)
     drop(contexts)
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     return whole.join(spans, KEY, "full_outer")
@@ -440,8 +444,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, limit: int =
     """doc_id (or the columns ``keep``), n_bytes, n_removed, n_spans, kept_sha256; with ``as_text`` the rest itself as
     ``text`` (bytes of characters cut in two are left out)."""
     kept = keep or ["doc_id"]
-    spans = repeat_spans(docs, length, core, limit)
-    keyed = keyed_texts(docs, *kept).join(spans, KEY, "left")
+    spans = stored(repeat_spans(docs, length, core, limit), "repeats")
+    keyed = spread_left_join(keyed_texts(docs, *kept).withColumn("at_", F.monotonically_increasing_id()), spans, KEY, ["at_"])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "n_bytes long, n_removed long, n_spans long, rest string"])
     out = keyed.select(*kept, "text", "whole", "spans").mapInArrow(_apply(length, core, kept, as_text), schema)
     return out.withColumnRenamed("rest", "text" if as_text else "kept_sha256")
