@@ -18,6 +18,10 @@ from .walk import steps, taxon_pairs
 
 #: Rows of a witness set that holds more than one row in this many don't move in joins; at most this many sets are broadcast.
 HOT_SHARE = 10_000
+#: Columns of a site that holds more than one column in this many are dealt out in the join on it.
+HOT_SITES = 1_000
+#: Two hashes that stand for the readings of a column.
+SITE = ["site_1", "site_2"]
 
 
 def tree_reroot(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,14 +130,18 @@ def fitch(cells: DataFrame, nodes: DataFrame, edges: DataFrame, normalised: bool
     set, else the set itself. If cells have a ``tree_id`` they are solved by that tree, else by every tree.
 
     A column's readings are packed into one array (one shuffle), equal columns are solved once, and a tree is walked inside
-    the row: the up-pass folds its plan from leaves to root, the down-pass from root to leaves.
+    the row: the up-pass folds its plan from leaves to root, the down-pass from root to leaves. Results go back to the columns
+    by two hashes of the readings, those of a frequent site dealt over several tasks.
     """
     by = [c for c in ("tree_id",) if c in cells.columns]
     held = pick_reading(cells).withColumn("reading", F.col("picked")) if normalised else cells
     taxa = nodes.where("label IS NOT NULL").select(*by, F.col("label").alias("siglum")).distinct()
     sites = held.join(taxa, [*by, "siglum"], "left_semi").groupBy(*by, *COLUMN).agg(F.sort_array(F.collect_list(F.struct("siglum", "reading"))).alias("site"))
-    plan = plans(nodes, edges)
-    kinds = sites.select(*by, "site").distinct()
+    # Columns carry two hashes of their site from here on; only one row a site carries the site itself.
+    keys = [F.xxhash64(F.lit(k), *by, "site").alias(f"site_{k}") for k in (1, 2)]
+    sites = stored(sites.select("*", *keys), "sites")
+    plan = stored(plans(nodes, edges), "plans")
+    kinds = sites.groupBy(*by, *SITE).agg(F.first("site").alias("site"), F.count("*").alias("held"))
     kinds = kinds.join(plan, by) if by else kinds.crossJoin(plan)
     none = F.array().cast("array<string>")
     state = lambda states, agreed: F.struct(states.alias("states"), agreed.alias("agreed"))
@@ -167,12 +175,20 @@ def fitch(cells: DataFrame, nodes: DataFrame, edges: DataFrame, normalised: bool
     names = F.transform(walked, lambda node: node["node_id"])
     solved = kinds.select(
         "tree_id",
-        "site",
+        *SITE,
         F.map_from_arrays(names, F.transform(walked, lambda node: F.get(F.col("ups"), node["place"])["states"])).alias("up"),
         F.map_from_arrays(names, F.transform(walked, lambda node: F.get("downs", node["place"]))).alias("down"),
         F.transform(F.filter(walked, lambda node: F.get(F.col("ups"), node["place"])["agreed"]), lambda node: node["node_id"]).alias("agreed"),
     )
-    return sites.join(solved, [*by, "site"]).select(*COLUMN, "tree_id", "up", "down", "agreed")
+    held_by = kinds.groupBy(*by, *SITE).agg(F.first("held").alias("held"))
+    total = sites.agg(F.count("*").alias("total"))
+    hot = held_by.crossJoin(F.broadcast(total)).where(F.col("held") * HOT_SITES > F.col("total"))
+    hot = F.broadcast(hot.select(*by, *SITE, F.ceil(F.col("held") * HOT_SITES / F.col("total")).cast("int").alias("parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(*COLUMN), "parts"), F.lit(0)).cast("int")
+    members = sites.drop("site").join(hot, [*by, *SITE], "left").withColumn("part", part)
+    copies = solved.join(hot, [*by, *SITE], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    # Never sent to all tasks: the written maps are many times larger in memory than their files, which Spark goes by.
+    return members.drop("parts").join(copies.drop("parts").hint("merge"), [*by, *SITE, "part"]).select(*COLUMN, "tree_id", "up", "down", "agreed")
 
 
 def format_states(states: Column, blanks: bool = False) -> Column:
