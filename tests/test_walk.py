@@ -72,3 +72,16 @@ def test_no_rows(spark):
     more = edges.union(spark.createDataFrame([("t", 4, 0, 1, 1.0), ("t", 5, 0, 2, 1.0), (None, 6, 2, 3, 1.0), (None, 7, 2, 4, 1.0)], EDGES))
     labels = nodes.union(spark.createDataFrame([("t", 2, "W9"), (None, 4, "y")], NODES))
     assert {tuple(r) for r in tree.tree_paths(labels, more).collect()} == {("t", "W0", "W9", 2, 2.0), (None, "x", "y", 2, 2.0)}
+
+
+def test_many_trees_are_few_batches(spark):
+    """Trees don't come as a group of their own each: a thousand small ones are no grouped function of Python, and come whole."""
+    ids = spark.range(1000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("tree_id"))
+    nodes = ids.crossJoin(spark.createDataFrame([(2, "A"), (3, "B")], "node_id int, label string"))
+    edges = ids.crossJoin(spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25)], "source int, target int, length double"))
+    walked = walk.steps(nodes, edges)
+    assert "CoGroup" not in walked._jdf.queryExecution().executedPlan().toString()
+    assert walked.count() == 3000
+    rows = walk.taxon_pairs(walked).collect()
+    assert {r["tree_id"] for r in rows} == {f"t{k}" for k in range(1000)}
+    assert {(r["a"], r["b"], r["edges"], r["length"]) for r in rows} == {("A", "B", 2, 0.75)} and len(rows) == 1000

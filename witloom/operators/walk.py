@@ -1,6 +1,6 @@
 """One walk over each tree: order, depths, heights, faults, and where neighbouring taxa meet.
 
-A tree is one group of a task (its nodes and edges, not its pairs), so memory is bounded by the largest tree. What needs pairs
+A tree is one row of a task (its nodes and edges, not its pairs), so memory is bounded by a batch of trees. What needs pairs
 of taxa is worked out later, in blocks that Spark deals out.
 """
 
@@ -35,59 +35,79 @@ def steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select("tree_id", F.col("source").cast(kind).alias("source"), "target", F.col("length").cast("double").alias("length")).where("source IS NOT NULL AND target IS NOT NULL")
     named = nodes.where("label IS NOT NULL").select(F.col("tree_id").cast(tree).alias("tree_id"), F.col("node_id").cast(kind).alias("node"), F.col("label").cast("string").alias("label"))
     fields = f"tree_id {tree.simpleString()}, node {kind.simpleString()}, label string, place int, depth int, length double, unknown int, height int, level int, meet int, meet_depth int, meet_length double, meet_unknown int, fault string"
-    out = [c.strip().split(" ")[0] for c in fields.split(", ")]
-
-    def walk(taxa: pa.Table, lines: pa.Table) -> pa.Table:
-        tree_id, types = lines.column("tree_id"), lines.schema
-        schema = [(c, types.field("tree_id").type if c == "tree_id" else types.field("target").type if c == "node" else {"label": pa.string(), "fault": pa.string(), "length": pa.float64(), "meet_length": pa.float64()}.get(c, pa.int32())) for c in out]
-        empty = {c: [] for c in out}
-        if not len(lines):
-            return pa.table(empty, schema=pa.schema(schema))
-        source, target, length = (lines.column(c).to_pylist() for c in ("source", "target", "length"))
-
-        def fault(what: str) -> pa.Table:
-            return pa.table({c: [what] if c == "fault" else [tree_id[0].as_py()] if c == "tree_id" else [None] for c in out}, schema=pa.schema(schema))
-
-        if len(set(target)) < len(target):
-            return fault("second parent")
-        label: dict = {}
-        for node, name in zip(taxa.column("node").to_pylist(), taxa.column("label").to_pylist()):
-            label[node] = min(name, label.get(node, name))
-        below: dict = {}
-        for s, t, x in zip(source, target, length):
-            below.setdefault(s, []).append((t, x))
-        order, parent, depth, dist, unknown = [], [], [], [], []
-        stack = [(root, -1, 0, 0.0, 0) for root in sorted(set(source) - set(target), reverse=True)]
-        while stack:
-            node, above, d, x, u = stack.pop()
-            place = len(order)
-            for values, v in zip((order, parent, depth, dist, unknown), (node, above, d, x, u)):
-                values.append(v)
-            stack += [(t, place, d + 1, x + (e or 0.0), u + (e is None)) for t, e in below.get(node, ())]
-        if len(order) < len(set(source) | set(target)):
-            return fault("cycle")
-        height, level = [0] * len(order), [0 if n in label else -1 for n in order]
-        for p in range(len(order) - 1, 0, -1):
-            if (up := parent[p]) >= 0:
-                height[up] = max(height[up], height[p] + 1)
-                level[up] = max(level[up], level[p] + 1 if level[p] >= 0 else -1)
-        # From a taxon up to the first place at or before the last taxon: that node lies over both. Each place is passed once.
-        meet, before = [None] * len(order), None
-        for p, n in enumerate(order):
-            if n in label:
-                up = p
-                while before is not None and up > before:
-                    up = parent[up]
-                meet[p], before = -1 if before is None else up, p
-        met = [m if m is not None and m >= 0 else None for m in meet]
-        at = lambda values: [None if m is None else values[m] for m in met]
-        columns = {
-            "tree_id": [tree_id[0].as_py()] * len(order), "node": order, "label": [label.get(n) for n in order], "place": list(range(len(order))), "depth": depth, "length": dist, "unknown": unknown,
-            "height": height, "level": [None if v < 0 else v for v in level], "meet": meet, "meet_depth": at(depth), "meet_length": at(dist), "meet_unknown": at(unknown), "fault": [None] * len(order),
-        }
-        return pa.table(columns, schema=pa.schema(schema))
-
-    return named.groupBy("tree_id").cogroup(ends.groupBy("tree_id")).applyInArrow(walk, fields)
+    out = COLUMNS
+
+    # A tree is one row of lists, so a batch holds many trees: a group of its own for each costs more than its walk.
+    rows = named.select("tree_id", F.struct("node", "label").alias("taxon"), F.lit(None).alias("line")).unionByName(ends.select("tree_id", F.lit(None).alias("taxon"), F.struct("source", "target", "length").alias("line")))
+    trees = rows.groupBy("tree_id").agg(F.collect_list("taxon").alias("taxa"), F.collect_list("line").alias("lines")).where(F.size("lines") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = batch.schema
+            node = schema.field("lines").type.value_type.field("target").type
+            types = [schema.field("tree_id").type if c == "tree_id" else node if c == "node" else {"label": pa.string(), "fault": pa.string(), "length": pa.float64(), "meet_length": pa.float64()}.get(c, pa.int32()) for c in out]
+            held, count = {c: [] for c in out}, 0
+            for r in range(batch.num_rows):
+                taxa, lines = (batch.column(c)[r].values for c in ("taxa", "lines"))
+                made = walked(batch.column("tree_id")[r].as_py(), [taxa.field(c).to_pylist() for c in ("node", "label")], [lines.field(c).to_pylist() for c in ("source", "target", "length")])
+                for c in out:
+                    held[c] += made[c]
+                count += len(made["node"])
+                if count >= BATCH or r == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[c], t) for c, t in zip(out, types, strict=True)], out)
+                    held, count = {c: [] for c in out}, 0
+
+    return trees.mapInArrow(run, fields)
+
+
+#: Columns of :func:`steps`.
+COLUMNS = ["tree_id", "node", "label", "place", "depth", "length", "unknown", "height", "level", "meet", "meet_depth", "meet_length", "meet_unknown", "fault"]
+
+
+def walked(tree_id: object, taxa: list[list], lines: list[list]) -> dict[str, list]:
+    """The rows of :func:`steps` of one tree, column by column; ``taxa``: nodes, labels; ``lines``: sources, targets, lengths."""
+    source, target, length = lines
+
+    def fault(what: str) -> dict[str, list]:
+        return {c: [None] for c in COLUMNS} | {"tree_id": [tree_id], "fault": [what]}
+
+    if len(set(target)) < len(target):
+        return fault("second parent")
+    label: dict = {}
+    for node, name in zip(*taxa, strict=True):
+        label[node] = min(name, label.get(node, name))
+    below: dict = {}
+    for s, t, x in zip(source, target, length, strict=True):
+        below.setdefault(s, []).append((t, x))
+    order, parent, depth, dist, unknown = [], [], [], [], []
+    stack = [(root, -1, 0, 0.0, 0) for root in sorted(set(source) - set(target), reverse=True)]
+    while stack:
+        node, above, d, x, u = stack.pop()
+        place = len(order)
+        for values, v in zip((order, parent, depth, dist, unknown), (node, above, d, x, u), strict=True):
+            values.append(v)
+        stack += [(t, place, d + 1, x + (e or 0.0), u + (e is None)) for t, e in below.get(node, ())]
+    if len(order) < len(set(source) | set(target)):
+        return fault("cycle")
+    height, level = [0] * len(order), [0 if n in label else -1 for n in order]
+    for p in range(len(order) - 1, 0, -1):
+        if (up := parent[p]) >= 0:
+            height[up] = max(height[up], height[p] + 1)
+            level[up] = max(level[up], level[p] + 1 if level[p] >= 0 else -1)
+    # From a taxon up to the first place at or before the last taxon: that node lies over both. Each place is passed once.
+    meet, before = [None] * len(order), None
+    for p, n in enumerate(order):
+        if n in label:
+            up = p
+            while before is not None and up > before:
+                up = parent[up]
+            meet[p], before = -1 if before is None else up, p
+    met = [m if m is not None and m >= 0 else None for m in meet]
+    at = lambda values: [None if m is None else values[m] for m in met]
+    return {
+        "tree_id": [tree_id] * len(order), "node": order, "label": [label.get(n) for n in order], "place": list(range(len(order))), "depth": depth, "length": dist, "unknown": unknown,
+        "height": height, "level": [None if v < 0 else v for v in level], "meet": meet, "meet_depth": at(depth), "meet_length": at(dist), "meet_unknown": at(unknown), "fault": [None] * len(order),
+    }
 
 
 def taxon_pairs(walked: DataFrame) -> DataFrame:
@@ -109,28 +129,26 @@ def taxon_pairs(walked: DataFrame) -> DataFrame:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field("tree_id").type
+            kind, held, waiting = batch.schema.field("tree_id").type, [], 0
             for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                first, tree_id = row.column("first")[0].as_py(), row.column("tree_id")[0].as_py()
-                values = {c: row.column(c)[0].values for c in names}
-                held, waiting = [], 0
+                first, tree_id = batch.column("first")[r].as_py(), batch.column("tree_id")[r].as_py()
+                values = {c: batch.column(c)[r].values for c in names}
                 for one, found in block_pairs(values["label"].to_pylist(), {c: values[c].to_numpy(zero_copy_only=False) for c in names[1:]}, first):
-                    held.append((one, *found))
+                    held.append((tree_id, one, *found))
                     waiting += len(found[0])
                     if waiting >= BATCH:
-                        yield made(tree_id, kind, held)
+                        yield made(kind, held)
                         held, waiting = [], 0
-                if waiting:
-                    yield made(tree_id, kind, held)
+            if waiting:
+                yield made(kind, held)
 
     return dealt.mapInArrow(pairs, f"tree_id {tree}, a string, b string, edges int, length double")
 
 
-def made(tree_id: object, kind: pa.DataType, held: list) -> pa.RecordBatch:
-    others, edges, length, known = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4))
-    ones = np.repeat(np.array([h[0] for h in held], dtype=object), [len(h[1]) for h in held])
-    columns = [pa.array([tree_id] * len(ones), kind), pa.array(ones, pa.string()), pa.array(others, pa.string()), pa.array(edges, pa.int32()), pa.array(length, pa.float64(), mask=~known)]
+def made(kind: pa.DataType, held: list) -> pa.RecordBatch:
+    others, edges, length, known = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4, 5))
+    row = pa.array(np.repeat(np.arange(len(held)), [len(h[2]) for h in held]))
+    columns = [pa.array([h[0] for h in held], kind).take(row), pa.array([h[1] for h in held], pa.string()).take(row), pa.array(others, pa.string()), pa.array(edges, pa.int32()), pa.array(length, pa.float64(), mask=~known)]
     return pa.RecordBatch.from_arrays(columns, ["tree_id", "a", "b", "edges", "length"])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,21 +140,37 @@ def read_alignment_csv(spark: SparkSession, path: str) -> DataFrame:
     return parse_alignment_csv(whole_files(spark, path))
 
 
+#: Rows of one Arrow batch that a reader gives back, about: a batch for each small text costs more than its reading.
+ROWS = 50_000
+
+
+def gathered(texts: Iterable[list[tuple]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows of many texts as batches of ROWS; the last text of a batch may exceed it."""
+    held: list[tuple] = []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+    for rows in texts:
+        held += rows
+        if len(held) >= ROWS:
+            yield made()
+            held = []
+    if held:
+        yield made()
+
+
 def _tei_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["passage_id", "siglum", "wit_ord", "n", "reading", "lemma", "emended", "group_id", "insignificant", "binary"]
     types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_()]
     local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-    for batch in batches:
-        for path, text, first in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            rows = []
-            for order, tei in enumerate(elements(text, "TEI"), first):
-                groups = {id(w): g for g, cl in enumerate(e for e in tei.iter() if local(e) == "cl") for w in cl.iter()}
-                for w in tei.iter():
-                    if local(w) == "w":
-                        on = lambda a: w.get(a) == "true"  # noqa: B023, E731
-                        rows.append((path, tei.get("n"), order, int(w.get("n")), "".join(w.itertext()), w.get("lemma"), on("emended"), groups.get(id(w)), on("insignificant"), on("binary")))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def read(path: str, text: str | None, first: int) -> Iterator[tuple]:
+        for order, tei in enumerate(elements(text, "TEI"), first):
+            groups = {id(w): g for g, cl in enumerate(e for e in tei.iter() if local(e) == "cl") for w in cl.iter()}
+            for w in tei.iter():
+                if local(w) == "w":
+                    on = lambda a: w.get(a) == "true"  # noqa: B023, E731
+                    yield (path, tei.get("n"), order, int(w.get("n")), "".join(w.itertext()), w.get("lemma"), on("emended"), groups.get(id(w)), on("insignificant"), on("binary"))
+
+    yield from gathered((list(read(*row)) for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)), names, types)
 
 
 def parse_tei_matrix(files: DataFrame) -> DataFrame:
@@ -178,17 +194,16 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["tree_id", "kind", "id", "label", "otu", "is_root", "source", "target", "length", "edge_ord"]
     types = [pa.string()] * 5 + [pa.bool_(), pa.string(), pa.string(), pa.float64(), pa.int32()]
     local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-    for batch in batches:
-        for text in batch.column(1).to_pylist():
-            rows = []
-            for tree in elements(text, "tree"):
-                for k, e in enumerate(tree):
-                    if local(e) == "node":
-                        rows.append((tree.get("id"), "node", e.get("id"), e.get("label"), e.get("otu"), e.get("root") == "true", None, None, None, None))
-                    elif local(e) == "edge":
-                        rows.append((tree.get("id"), "edge", e.get("id"), None, None, None, e.get("source"), e.get("target"), float(e.get("length") or 0), k))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def read(text: str | None) -> Iterator[tuple]:
+        for tree in elements(text, "tree"):
+            for k, e in enumerate(tree):
+                if local(e) == "node":
+                    yield (tree.get("id"), "node", e.get("id"), e.get("label"), e.get("otu"), e.get("root") == "true", None, None, None, None)
+                elif local(e) == "edge":
+                    yield (tree.get("id"), "edge", e.get("id"), None, None, None, e.get("source"), e.get("target"), float(e.get("length") or 0), k)
+
+    yield from gathered((list(read(text)) for batch in batches for text in batch.column(1).to_pylist()), names, types)
 
 
 def parse_trees(files: DataFrame) -> tuple[DataFrame, DataFrame]:
