@@ -12,13 +12,17 @@ from .stats import COLUMN, empty_columns, empty_rows
 def insert_columns(cells: DataFrame, inserts: DataFrame) -> DataFrame:
     """``inserts`` (passage_id, n, count): gap columns behind column n; further columns of cells move along, null in gaps.
 
-    Each passage's inserts are one small array on its rows, so cells move by a column expression.
+    Each passage's inserts are one small array on its rows, so cells move by a column expression. Passages are dealt over a given number
+    of tasks: their bytes, by which Spark would put tasks together, are few beside their rows in memory.
     """
+    spark = cells.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    cells = cells.repartition(parts, "passage_id")
     per = inserts.groupBy("passage_id").agg(F.sort_array(F.collect_list(F.struct("n", "count"))).alias("inserts"))
     held = cells.join(per, "passage_id", "left").withColumn("inserts", F.coalesce("inserts", F.array().cast("array<struct<n:int,count:int>>")))
     before = lambda n: F.aggregate(F.filter("inserts", lambda i: i["n"] < n), F.lit(0), lambda a, i: a + i["count"])
     moved = held.withColumn("n", F.col("n") + before(F.col("n"))).select(*cells.columns)
-    rows = held.select("passage_id", "siglum", "wit_ord", "inserts").distinct()
+    rows = cells.select("passage_id", "siglum", "wit_ord").distinct().join(per, "passage_id")
     gaps = rows.select("*", F.explode("inserts").alias("i")).select("passage_id", "siglum", "wit_ord", "inserts", "i", F.explode(F.sequence(F.lit(1), F.col("i.count"))).alias("k"))
     gaps = gaps.select("passage_id", "siglum", "wit_ord", (F.col("i.n") + before(F.col("i.n")) + F.col("k")).alias("n"), F.lit("").alias("reading"))
     return moved.unionByName(gaps, allowMissingColumns=True)
