@@ -29,9 +29,19 @@ def symbol_of(state: Column, reading: Column) -> Column:
     return F.when(reading == "", "-").when(reading == "[]", "0").when(state > len(SYMBOLS), OVERFLOW).otherwise(F.substring(F.lit(SYMBOLS), state, F.lit(1)))
 
 
-def nexus_states(cells: DataFrame) -> DataFrame:
-    coded = cells.join(state_numbers(cells), [*COLUMN, "reading"], "left")
-    return coded.select("passage_id", "siglum", "wit_ord", "n", symbol_of(F.col("state"), F.col("reading")).alias("symbol"))
+def column_states(cells: DataFrame) -> DataFrame:
+    """passage_id, n, states: every column's readings in the order of their numbers (as :func:`state_numbers` gives them)."""
+    first = cells.groupBy(*COLUMN, "reading").agg(F.min("wit_ord").alias("first"))
+    held = F.collect_list(F.when(~F.col("reading").isin("", "[]"), F.struct("first", "reading")))
+    return first.groupBy(*COLUMN).agg(F.transform(F.sort_array(held), lambda x: x["reading"]).alias("states"))
+
+
+def nexus_states(cells: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """A symbol a cell; ``states``: the columns' states, if they are made already. Only those that have a symbol are sought."""
+    known = (column_states(cells) if states is None else states).select(*COLUMN, F.slice("states", 1, len(SYMBOLS)).alias("states"))
+    at = F.array_position("states", F.col("reading")).cast("int")
+    state = F.when(at == 0, len(SYMBOLS) + 1).otherwise(at)
+    return cells.join(known, COLUMN, "left").select("passage_id", "siglum", "wit_ord", "n", symbol_of(state, F.col("reading")).alias("symbol"))
 
 
 def nexus_labels(cells: DataFrame) -> DataFrame:
@@ -40,12 +50,11 @@ def nexus_labels(cells: DataFrame) -> DataFrame:
     return numbered.groupBy(*COLUMN).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("state", "reading"))), lambda x: x["reading"]), " ").alias("labels"))
 
 
-def file_labels(cells: DataFrame) -> DataFrame:
+def file_labels(cells: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Quoted state labels of every column as a file lists them: ``[]``, the label of symbol 0, always first."""
     quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
-    states = F.transform(F.sort_array(F.collect_list(F.when(F.col("state").isNotNull(), F.struct("state", "reading")))), lambda x: quoted(x["reading"]))
-    numbered = cells.select(*COLUMN).distinct().join(state_numbers(cells), COLUMN, "left")
-    return numbered.groupBy(*COLUMN).agg(F.array_join(F.concat(F.array(F.lit("'[]'")), states), " ").alias("labels"))
+    shown = F.array_join(F.concat(F.array(F.lit("'[]'")), F.transform("states", quoted)), " ").alias("labels")
+    return (column_states(cells) if states is None else states).select(*COLUMN, shown)
 
 
 def mask_runs(states: DataFrame, least: int = 8) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.translit import slp1_to_iast
-from ..operators.coding import SYMBOLS, coded_readings, file_labels, nexus_rows, nexus_states
+from ..operators.coding import SYMBOLS, coded_readings, column_states, file_labels, nexus_rows, nexus_states
 from ..operators.columns import ordered_join
+from ..storage import stored
 from .writers import ROW, TEI, XML_HEAD, by_witness, csv_cell, tei_text, tei_word
 
 LINES = ["passage_id", "part", "at", "line"]
@@ -50,18 +51,19 @@ def fasta_lines(witnesses: DataFrame) -> DataFrame:
 
 def nexus_lines(cells: DataFrame) -> DataFrame:
     """Readings are coded first. State labels are a line a column, the matrix a line a witness."""
-    cells = coded_readings(cells)
+    cells = stored(coded_readings(cells), "coded")
+    states = stored(column_states(cells), "states")
     quoted = F.concat(F.lit("'"), F.replace("siglum", F.lit("'"), F.lit("''")), F.lit("'"))
-    rows = nexus_rows(nexus_states(cells)).withColumn("taxon", quoted)
+    rows = stored(nexus_rows(nexus_states(cells, states)).withColumn("taxon", quoted), "rows")
     taxa = rows.groupBy("passage_id").agg(F.count("*").alias("ntax"), F.max(F.length("states")).alias("nchar"), by_witness("taxon", " ").alias("taxa"))
     symbols = " ".join("0" + SYMBOLS)
     head = _around(
         taxa, 0, "#NEXUS", "", "BEGIN TAXA;", F.concat(F.lit("  DIMENSIONS NTAX="), F.col("ntax").cast("string"), F.lit(";")), F.concat(F.lit("  TAXLABELS "), "taxa", F.lit(";")), "END;", "",
         "BEGIN CHARACTERS;", F.concat(F.lit("  DIMENSIONS NCHAR="), F.col("nchar").cast("string"), F.lit(";")), f'  FORMAT DATATYPE=STANDARD RESPECTCASE GAP=- MISSING=? SYMBOLS="{symbols}";', "  CHARSTATELABELS",
     )
-    last = cells.groupBy("passage_id").agg(F.max("n").alias("last"))
+    last = states.groupBy("passage_id").agg(F.max("n").alias("last"))
     comma = F.when(F.col("n") < F.col("last"), ",").otherwise("")
-    labels = file_labels(cells).join(last, "passage_id")
+    labels = file_labels(cells, states).join(last, "passage_id")
     labels = _rows(labels, 1, "n", F.concat((F.col("n") + 1).cast("string"), F.lit(" / "), "labels", comma))
     matrix = _rows(rows, 3, "wit_ord", F.concat("taxon", F.lit(" "), "states"))
     passages = taxa.select("passage_id")

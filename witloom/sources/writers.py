@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.translit import slp1_to_iast
-from ..operators.coding import SYMBOLS, coded_readings, file_labels, nexus_rows, nexus_states
+from ..operators.coding import SYMBOLS, coded_readings, column_states, file_labels, nexus_rows, nexus_states
 from ..operators.columns import ordered_join
+from ..storage import stored
 
 ROW = ["passage_id", "siglum", "wit_ord"]
 
@@ -63,12 +64,13 @@ def alignment_csv(cells: DataFrame) -> DataFrame:
 
 def nexus(cells: DataFrame) -> DataFrame:
     """passage_id, value: taxa, the format of the characters, state labels and the matrix. Readings are coded first."""
-    cells = coded_readings(cells)
+    cells = stored(coded_readings(cells), "coded")
+    states = stored(column_states(cells), "states")
     quoted = F.concat(F.lit("'"), F.replace("siglum", F.lit("'"), F.lit("''")), F.lit("'"))
-    rows = nexus_rows(nexus_states(cells)).withColumn("taxon", quoted).withColumn("line", F.concat("taxon", F.lit(" "), "states"))
+    rows = nexus_rows(nexus_states(cells, states)).withColumn("taxon", quoted).withColumn("line", F.concat("taxon", F.lit(" "), "states"))
     body = rows.groupBy("passage_id").agg(F.count("*").alias("ntax"), F.max(F.length("states")).alias("nchar"), by_witness("line").alias("matrix"), by_witness("taxon", " ").alias("taxa"))
     label = F.concat((F.col("n") + 1).cast("string"), F.lit(" / "), "labels")
-    labels = file_labels(cells).groupBy("passage_id").agg(ordered_join(label, ",\n").alias("labels"))
+    labels = file_labels(cells, states).groupBy("passage_id").agg(ordered_join(label, ",\n").alias("labels"))
     symbols = " ".join("0" + SYMBOLS)
     value = F.concat(
         F.lit("#NEXUS\n\nBEGIN TAXA;\n  DIMENSIONS NTAX="), F.col("ntax").cast("string"), F.lit(";\n  TAXLABELS "), "taxa", F.lit(";\nEND;\n\nBEGIN CHARACTERS;\n  DIMENSIONS NCHAR="), F.col("nchar").cast("string"),
