@@ -44,11 +44,18 @@ def renumber_columns(cells: DataFrame) -> DataFrame:
     return cells.join(columns, COLUMN).withColumn("n", F.col("new_n").cast("int")).drop("new_n")
 
 
-def merge_columns(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Columns named in ``merges`` (passage_id, n, target) become their target: readings join in column order, lemmas go."""
-    moved = cells.join(merges.select(*COLUMN, "target"), COLUMN, "left").withColumn("target", F.coalesce("target", "n"))
-    merged = moved.groupBy(*ROW, "target").agg(ordered_join("reading").alias("reading")).withColumnRenamed("target", "n")
-    return renumber_columns(merged)
+def merge_columns(cells: DataFrame, merges: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Columns named in ``merges`` (passage_id, n, target) become their target: readings join in column order, lemmas go.
+
+    New numbers are worked out on the column table, so cells move to it and to their rows only. ``columns``: that table (all of
+    the cells' columns and no others), if there is one; else it is made from the cells.
+    """
+    known = (cells if columns is None else columns).select(*COLUMN).distinct()
+    moved = known.join(merges.select(*COLUMN, "target"), COLUMN, "left")
+    placed = F.dense_rank().over(Window.partitionBy("passage_id").orderBy(F.coalesce("target", "n"))) - 1
+    numbered = moved.select(*COLUMN, placed.cast("int").alias("new_n"))
+    merged = cells.join(numbered, COLUMN).groupBy(*ROW, "new_n").agg(ordered_join("reading").alias("reading"))
+    return merged.select(*ROW, F.col("new_n").alias("n"), "reading")
 
 
 def merge_groups(cells: DataFrame, columns: DataFrame) -> DataFrame:
