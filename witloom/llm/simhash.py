@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, slices, spread_join, stored, text_of
 from .components import components
-from .similar import bands, joined_groups
+from .similar import bands, joined_groups, parities
 
 BITS = 64
 QUARTERS = 4
@@ -259,15 +259,17 @@ def near_duplicates(docs: DataFrame, budget: int = 3, size: int = 3, seed: int =
 
 
 def _sketches(size: int, seed: int, words: int):
-    """Key, fingerprint, hash of all words and bands of shingles of ``words`` words."""
+    """Key, fingerprint, hash of all words, and bands, number and parities of the shingles of ``words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             split = [t.lower().split() for t in texts]
             fps = np.array([majority(shingle_hashes(w, size, seed)) for w in split], np.uint64).view(np.int64)
             whole = np.array([xxhash.xxh64_intdigest(b" ".join(w), seed + 1) for w in split], np.uint64).view(np.int64)
-            keys = [bands(np.array(shingle_hashes(w, words, seed), np.uint64)) for w in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(whole), pa.array(keys, pa.list_(pa.int64()))], ["row", "fp", "t", "bands"])
+            sets = [np.array(shingle_hashes(w, words, seed), np.uint64) for w in split]
+            keys, (size_, odd) = [bands(s) for s in sets], zip(*[parities(s) for s in sets], strict=True)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, odd)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(whole), lists[0], pa.array(size_, pa.int64()), lists[1]], ["row", "fp", "t", "bands", "size", "odd"])
 
     return run
 
@@ -291,8 +293,8 @@ def representatives(docs: DataFrame, budget: int = 3, size: int = 3, seed: int =
         distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("row")), "distinct")
     else:
         text = docs.select(row.alias("row"), text_of().cast("binary").alias("text"))
-        prints = text.mapInArrow(_sketches(size, seed, words), f"row {key}, fp long, t long, bands array<long>")
-        texts = stored(prints.groupBy("fp", "t").agg(F.min("row").alias("row"), F.any_value("bands").alias("bands")), "texts")
+        prints = text.mapInArrow(_sketches(size, seed, words), f"row {key}, fp long, t long, bands array<long>, size long, odd array<long>")
+        texts = stored(prints.groupBy("fp", "t").agg(F.min("row").alias("row"), *[F.any_value(x).alias(x) for x in ("bands", "size", "odd")]), "texts")
         distinct = stored(texts.groupBy("fp").agg(F.min("row").alias("row")), "distinct")
     edges = stored(links(distinct.select("fp"), budget, leaf), "edges")
     found = components(edges, distinct.select(F.col("fp").alias("node"), F.col("fp").alias("weight")))
